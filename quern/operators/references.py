@@ -72,7 +72,8 @@ def orphan_references(fields: list[tuple[DataFrame, str, str]], targets: DataFra
     left = there.select("range", "src", "period", F.explode(bm.bitmap_positions(bm.bitmap_and_not("refs", "parents"))).alias("low"))
     left = left.withColumn("low", F.col("low").cast("long"))
 
-    suspects = left.join(words.select("range", "low", "key", "first"), ["range", "low"]).select("key", "src", "period", "first")
+    # Spark's size estimate doesn't count what the bitmaps explode to, so it must not choose a broadcast here
+    suspects = left.hint("merge").join(words.select("range", "low", "key", "first"), ["range", "low"]).select("key", "src", "period", "first")
     suspects = suspects.groupBy("key", "first").agg(F.collect_set(F.struct("src", "period")).alias("where"))
     hot = hot_keys(words.select("key", "n"), "key")
     rows = salted_join(refs, suspects, "key", hot, F.struct("src", "ref_id"))
