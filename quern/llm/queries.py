@@ -1,10 +1,11 @@
-"""The queries p4, p6 and p7."""
+"""The queries p4, p6, p7 and p8."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.duplicates import distinct_records, field_tuples, formatting_duplicates
+from quern.llm.encoding import garbled_documents
 from quern.llm.packing import fill_report, pack_documents
 from quern.llm.sql import SQL
 from quern.llm.tokens import token_ids
@@ -33,4 +34,12 @@ def p7_report(spark: SparkSession, sf: str) -> DataFrame:
     return fill_report(p7_containers(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_records, p6_ids, p7_containers, p7_report)}
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return garbled_documents(load(spark, sf, "documents")).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, sf: str) -> DataFrame:
+    return garbled_documents(load(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_records, p6_ids, p7_containers, p7_report, p8_found, p8_restored)}
