@@ -30,8 +30,8 @@ LEAST_GAIN, SWAP_GAIN = 9.0, 21.0
 EXCLUDE_GAIN = 40.0
 #: Share of upper-cased words added to every class, since texts in capitals are rare in a sample.
 CAPITALS = 0.1
-#: Stretches looked at in one document; a worker's memory of scored words.
-ROUNDS, CACHE_UNITS = 200, 200_000
+#: A worker's memory of scored words.
+CACHE_UNITS = 200_000
 
 #: (written in, read as), applied one after the other: fixed values, encodings that are commonly confused.
 CHAINS = [
@@ -181,7 +181,7 @@ def fit(texts: list[str]) -> Model:
     model, clean = None, texts
     for _ in range(2):
         if model is not None:
-            seen: dict[str, np.ndarray] = {}
+            seen: dict[str, tuple[np.ndarray, float]] = {}
             clean = [t for t in texts if not find_garbled(t, model, seen, least=EXCLUDE_GAIN, repair=False)[0]]
         tally: dict[str, int] = {}
         for t in clean:
@@ -207,20 +207,22 @@ def _best_stretch(gains: np.ndarray) -> tuple[float, int, int, int]:
     return float(rise[to, chain]), int(chain), start, int(to) + 1
 
 
-def _units(text: str, model: Model, seen: dict[str, np.ndarray]) -> tuple[list[re.Match], np.ndarray]:
-    """The words of a text that carry evidence, and their scores."""
-    units, rows = list(UNIT.finditer(text)), []
+def _units(text: str, model: Model, seen: dict[str, tuple[np.ndarray, float]], least: float) -> tuple[list[re.Match], np.ndarray] | None:
+    """The words of a text that carry evidence, and their scores; none if even all gains together stay under `least`."""
+    units, rows, most = list(UNIT.finditer(text)), [], 0.0
     for m in units:
         u = m.group()
         row = seen.get(u)
         if row is None:
-            row = model.score(u)
+            score = model.score(u)
+            row = score, max(0.0, float(score[1:].max() - score[0]))
             if len(u) <= 64:
                 if len(seen) > CACHE_UNITS:
                     seen.clear()
                 seen[u] = row
-        rows.append(row)
-    return units, np.array(rows)
+        rows.append(row[0])
+        most += row[1]
+    return (units, np.array(rows)) if most >= least else None
 
 
 def _mended(unit: str, chain: int, model: Model) -> str:
@@ -234,7 +236,7 @@ def _mended(unit: str, chain: int, model: Model) -> str:
     return unit if fixed is None else fixed
 
 
-def find_garbled(text: str, model: Model, seen: dict[str, np.ndarray], least: float = LEAST_GAIN, repair: bool = True) -> tuple[bool, str, list[str], bool]:
+def find_garbled(text: str, model: Model, seen: dict[str, tuple[np.ndarray, float]], least: float = LEAST_GAIN, repair: bool = True) -> tuple[bool, str, list[str], bool]:
     """`found, restored text, chains, whole`; `whole` if every stretch found could be restored.
 
     The stretch with the largest gain is restored, until none is left.  A stretch
@@ -242,17 +244,20 @@ def find_garbled(text: str, model: Model, seen: dict[str, np.ndarray], least: fl
     replacement characters is found, though its text is lost.
     """
     found, chains, whole = False, [], True
-    barred: set[tuple[str, int]] = set()
-    for _ in range(ROUNDS):
-        units, scores = _units(text, model, seen)
-        if not units:
+    barred: dict[str, set[int]] = {}
+    bar = lambda unit, chains: barred.setdefault(unit, set()).update(chains)
+    # every round restores a stretch or bars a word for a chain, so the bound is never met
+    for _ in range(len(CHAINS) * (len(text) + 1)):
+        scored = _units(text, model, seen, least)
+        if scored is None:
             break
+        units, scores = scored
         gains = scores[:, 1:] - scores[:, :1]
         if barred:
             for i, m in enumerate(units):
-                for c in range(len(CHAINS)):
-                    if (m.group(), c) in barred:
-                        gains[i, c] = min(gains[i, c], -50.0)
+                if at := barred.get(m.group()):
+                    at = list(at)
+                    gains[i, at] = np.minimum(gains[i, at], -50.0)
         gain, chain, start, to = _best_stretch(gains)
         if gain < least:
             break
@@ -268,7 +273,7 @@ def find_garbled(text: str, model: Model, seen: dict[str, np.ndarray], least: fl
                 controls = controls or CONTROL.search(u) is not None
             else:
                 lost += float(gains[i, chain]) if LOST in u else 0.0
-                barred.add((u, chain))
+                bar(u, [chain])
         need = least if controls or any(w == "utf-8" for w, _ in steps) else max(least, SWAP_GAIN)
         ok = kept >= need and cleaner > 0
         if ok or lost >= least:
@@ -278,12 +283,15 @@ def find_garbled(text: str, model: Model, seen: dict[str, np.ndarray], least: fl
                 break
         if lost >= least:
             whole = False
-            barred |= {(units[i].group(), c) for i in range(start, to) if LOST in units[i].group() for c in range(len(CHAINS))}
+            for i in range(start, to):
+                if LOST in units[i].group():
+                    bar(units[i].group(), range(len(CHAINS)))
         if ok:
             a, b = units[start].start(), units[to - 1].end()
             text = text[:a] + ANY_UNIT.sub(lambda m: _mended(m.group(), chain, model), text[a:b]) + text[b:]  # noqa: B023
         else:
-            barred |= {(units[i].group(), chain) for i in range(start, to)}
+            for i in range(start, to):
+                bar(units[i].group(), [chain])
     return found, text, list(dict.fromkeys(chains)), whole and found
 
 
