@@ -21,19 +21,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Documents with characters beyond ASCII in the training sample (the bound of the fit; all documents are classified).
-SAMPLE_DOCS = 4_000
+SAMPLE_DOCS = 6_000
 HASH_BITS = 15
 #: Least log-likelihood gain of a stretch over clean text; swaps of single-byte encodings decode whatever they are given, so
 #: without control codes in the stretch they need more than chains over UTF-8, whose bytes rarely decode by chance.
-LEAST_GAIN, SWAP_GAIN = 9.0, 21.0
-#: A document with a gain from this on is left out of the clean rows of the second training.
+LEAST_GAIN, SWAP_GAIN = 9.0, 40.0
+#: A document with a gain from this on (LEAST_GAIN if it holds control codes) is left out of the clean rows of the second training.
 EXCLUDE_GAIN = 40.0
+#: Of chains this near to the best over a stretch, the first in the list is taken.
+NEAR_GAIN = 4.0
 #: Share of upper-cased words added to every class, since texts in capitals are rare in a sample.
 CAPITALS = 0.1
 #: A worker's memory of scored words.
 CACHE_UNITS = 200_000
 
-#: (written in, read as), applied one after the other: fixed values, encodings that are commonly confused.
+#: (written in, read as), applied one after the other: fixed values, encodings that are commonly confused, the commoner ones first within a group.
 CHAINS = [
     [("utf-8", "latin-1")],
     [("utf-8", "cp1252")],
@@ -182,7 +184,8 @@ def fit(texts: list[str]) -> Model:
     for _ in range(2):
         if model is not None:
             seen: dict[str, tuple[np.ndarray, float]] = {}
-            clean = [t for t in texts if not find_garbled(t, model, seen, least=EXCLUDE_GAIN, repair=False)[0]]
+            garbled = lambda t: find_garbled(t, model, seen, least=LEAST_GAIN if CONTROL.search(t) else EXCLUDE_GAIN, repair=False)[0]  # noqa: B023, E731
+            clean = [t for t in texts if not garbled(t)]
         tally: dict[str, int] = {}
         for t in clean:
             for u in UNIT.findall(t):
@@ -261,6 +264,7 @@ def find_garbled(text: str, model: Model, seen: dict[str, tuple[np.ndarray, floa
         gain, chain, start, to = _best_stretch(gains)
         if gain < least:
             break
+        chain = int(np.flatnonzero(gains[start:to].sum(axis=0) >= gain - NEAR_GAIN)[0])
         steps = CHAINS[chain]
         kept = lost = cleaner = 0.0
         controls = False
