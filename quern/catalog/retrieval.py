@@ -39,7 +39,7 @@ qt AS (SELECT query_id, unnest(terms) AS term FROM q)"""
 _BM25 = f"""{_Q}, tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+')) AS token FROM documents), post AS (SELECT doc_id, token, count(*) AS tf FROM tok GROUP BY ALL), dl AS (SELECT doc_id, count(*) AS dl FROM tok GROUP BY 1),
  st AS (SELECT (SELECT count(*) FROM documents)::DOUBLE AS n, (SELECT sum(dl) FROM dl)::DOUBLE / (SELECT count(*) FROM documents) AS avgdl), dfs AS (SELECT token, count(*)::DOUBLE AS df FROM post GROUP BY 1),
  s AS (SELECT t.query_id, p.doc_id, sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl.dl / avgdl))) AS score, count(*) AS hits FROM qt t JOIN post p ON p.token = t.term JOIN dfs ON dfs.token = t.term JOIN dl USING (doc_id), st GROUP BY ALL),
- bm AS (SELECT s.query_id, doc_id, score, row_number() OVER (PARTITION BY s.query_id ORDER BY score DESC, doc_id) AS rank FROM s JOIN q ON q.query_id = s.query_id WHERE hits = len(terms))"""
+ bm AS (SELECT s.query_id, doc_id, score, row_number() OVER (PARTITION BY s.query_id ORDER BY floor(score * 1e9 + 0.5) / 1e9 DESC, doc_id) AS rank FROM s JOIN q ON q.query_id = s.query_id WHERE hits = len(terms))"""
 
 
 @c.query(f"WITH {_BM25} SELECT query_id, doc_id, floor(score * 1e6 + 0.5) / 1e6 AS score FROM bm WHERE rank <= 20")

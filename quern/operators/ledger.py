@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,35 +64,38 @@ def next_state(state: str | None, event: str) -> tuple[str, int]:
     return (event, 0) if event in V.FAULT_MOVES[state].split() else (state, 0)
 
 
+#: Events by number: none, an occurrence, then the states asked for; and what each makes of each state (0: not seen yet).
+EVENTS = ["occurrence", *STATES]
+
+
+def _tables() -> tuple[list[int], list[int]]:
+    starts = [None, *STATES]
+    moves = [(i, 0) if e is None else (lambda r: (starts.index(r[0]), r[1]))(next_state(s, e)) for i, s in enumerate(starts) for e in [None, *EVENTS]]
+    return [m[0] for m in moves], [m[1] for m in moves]
+
+
 def fault_states(events: DataFrame, key: str = "fingerprint_id") -> DataFrame:
-    """`key, state, total, regressions, first_seen, last_seen` from ordered events (`key, at, id, event`).
+    """`key, state, total, regressions, first_seen, last_seen` from events (`key, at, id, event`) in the order of time and id.
 
-    A stretch of events is a mapping from the state before to the state after, and mappings compose: stretches of
-    one hour are folded first, in parallel, and then the hours of each fault, whose number is bounded by the calendar.
+    A stretch of events is a mapping from the state before to the state after, and mappings compose: the
+    days of all faults are folded first, in parallel, and then the days of each fault, whose number is bounded by the
+    calendar.  Rows without key or time do not count; an event that isn't known changes nothing.
     """
-    starts = [None, *STATES]
-    shape = f"{key} string, hour long, after array<string>, again array<long>, total long, first_seen timestamp, last_seen timestamp"
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["at", "id"], kind="stable")
-        after, again = list(starts), [0] * len(starts)
-        for event in group["event"]:
-            for i, s in enumerate(after):
-                after[i], back = next_state(s, event)
-                again[i] += back
-        seen = group.loc[group["event"] == "occurrence", "at"]
-        return pd.DataFrame({key: [group[key].iloc[0]], "hour": [group["hour"].iloc[0]], "after": [after], "again": [again], "total": [len(seen)], "first_seen": [seen.min() if len(seen) else pd.NaT], "last_seen": [seen.max() if len(seen) else pd.NaT]})
-
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("hour")
-        state, again = None, 0
-        for after, back in zip(group["after"], group["again"]):
-            i = starts.index(state)
-            state, again = after[i], again + back[i]
-        return pd.DataFrame({key: [group[key].iloc[0]], "state": [state], "total": [group["total"].sum()], "regressions": [again], "first_seen": [group["first_seen"].min()], "last_seen": [group["last_seen"].max()]})
-
-    hourly = events.where(F.col(key).isNotNull() & F.col("at").isNotNull()).select(key, "at", "id", "event", F.floor(F.unix_millis("at") / 3_600_000).alias("hour")).groupBy(key, "hour").applyInPandas(fold, shape)
-    return hourly.groupBy(key).applyInPandas(join, f"{key} string, state string, total long, regressions long, first_seen timestamp, last_seen timestamp").where("state is not null")
+    after, back = (F.array(*[F.lit(x) for x in t]) for t in _tables())
+    n, width = len(STATES) + 1, len(EVENTS) + 1
+    number = F.coalesce(F.array_position(F.array(*[F.lit(e) for e in EVENTS]), F.col("event")), F.lit(0)).cast("int")
+    rows = events.where(F.col(key).isNotNull() & F.col("at").isNotNull()).select(key, "at", "id", number.alias("e"), day_of(F.col("at")).alias("day"))
+    seen = F.when(F.col("e") == 1, F.col("at"))
+    daily = rows.groupBy(key, "day").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "id", "e"))), lambda x: x["e"]).alias("es"), F.count_if(F.col("e") == 1).alias("total"), F.min(seen).alias("first_seen"), F.max(seen).alias("last_seen"))
+    at = lambda s, e: s * width + e + 1
+    start = F.struct(F.array(*[F.lit(i) for i in range(n)]).alias("to"), F.array_repeat(F.lit(0), n).alias("again"))
+    step = lambda acc, e: F.struct(F.transform(acc["to"], lambda s: F.element_at(after, at(s, e))).alias("to"), F.zip_with(acc["again"], acc["to"], lambda g, s: g + F.element_at(back, at(s, e))).alias("again"))
+    mapped = daily.select(key, "day", F.aggregate("es", start, step).alias("m"), "total", "first_seen", "last_seen")
+    whole = mapped.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("day", "m"))).alias("ms"), F.sum("total").alias("total"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    none = F.struct(F.lit(0).alias("s"), F.lit(0).alias("g"))
+    join = lambda acc, x: F.struct(F.element_at(x["m"]["to"], acc["s"] + 1).alias("s"), (acc["g"] + F.element_at(x["m"]["again"], acc["s"] + 1)).alias("g"))
+    end = whole.withColumn("end", F.aggregate("ms", none, join)).where("end.s > 0")
+    return end.select(key, F.element_at(F.array(*[F.lit(s) for s in STATES]), F.col("end.s")).alias("state"), "total", F.col("end.g").cast("long").alias("regressions"), "first_seen", "last_seen")
 
 
 def bounded_sample(rows: DataFrame, key: str = "fingerprint_id", most: int = 5) -> DataFrame:
