@@ -191,9 +191,13 @@ def ndcg_mrr(spark, sf):
     return out.select("query_id", X.rounded(F.col("ndcg"), 6).alias("ndcg"), X.rounded(F.col("mrr"), 6).alias("mrr"))
 
 
-@c.query("SELECT vec_id AS query_id, 1.0::DOUBLE AS recall FROM embeddings WHERE vec_id % 100 = 0")
+@c.query(f"WITH {_KNN} SELECT query_id, count(*) FILTER (v.label = q.label) / 10.0::DOUBLE AS recall FROM knn k JOIN v ON v.vec_id = k.vec_id JOIN v q ON q.vec_id = k.query_id WHERE rank <= 10 GROUP BY 1")
 def recall_at_k(spark, sf):
-    return M.recall_at_k(_near(spark, sf, 12), _near(spark, sf, 10), 10, key="vec_id")
+    """How much of the exact neighbours a search among vectors of the query's label alone would find."""
+    v = _vectors(spark, sf).select("vec_id", "label")
+    same = _near(spark, sf, 30).join(v, "vec_id").join(v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("q")), "query_id").where("label = q")
+    again = R.top_k(same.select("query_id", "vec_id", "similarity"), 10, key="vec_id", score="similarity")
+    return M.recall_at_k(again, _near(spark, sf, 10), 10, key="vec_id")
 
 
 # --- quality ---

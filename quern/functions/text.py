@@ -258,10 +258,14 @@ def capped_output(text: Column, limit: int = 15_000) -> Column:
     return F.when(F.length(text) <= limit, text).when((back > 0) & (at > 0.8 * limit), F.substr(head, F.lit(1), at)).otherwise(head)
 
 
+# Markdown that is dropped or unwrapped, in this order.
+MARKDOWN_RULES = [(r"(?s)```.*?```", ""), (r"`([^`\n]*)`", "$1"), (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^#{1,6}[ \t]+", ""), (r"(?m)^>[ \t]?", ""), (r"(?m)^[-*_]{3,}[ \t]*$", ""), (r"\*\*([^*\n]+)\*\*", "$1"), (r"\*([^*\n]+)\*", "$1"), (r"\n{3,}", "\n\n")]
+
+
 def plain_markdown(text: Column) -> Column:
     """Markdown without fences, headings, emphasis, links, quotes and rules; blank lines squeezed."""
     s = text
-    for pattern, to in ((r"(?s)```.*?```", ""), (r"`([^`\n]*)`", "$1"), (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]*)\]\([^)]*\)", "$1"), (r"(?m)^#{1,6}\s+", ""), (r"(?m)^>\s?", ""), (r"(?m)^[-*_]{3,}\s*$", ""), (r"\*\*([^*\n]+)\*\*", "$1"), (r"\*([^*\n]+)\*", "$1"), (r"\n{3,}", "\n\n")):
+    for pattern, to in MARKDOWN_RULES:
         s = F.regexp_replace(s, pattern, to)
     return F.trim(s)
 
@@ -288,3 +292,40 @@ def json_or_words(text: Column) -> Column:
 
 def loose_boolean(text: Column) -> Column:
     return F.when(F.lower(text).isin("true", "1", "yes"), True).when(F.lower(text).isin("false", "0", "no"), False)
+
+
+def kebab_to_pascal(text: Column) -> Column:
+    return F.array_join(F.transform(F.split(text, "-"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1 << 20))), "")
+
+
+def output_text(payload: Column) -> Column:
+    """A tool's output as plain text: a JSON list of parts, an object with `content` or `text`, or the text itself."""
+    part = "array<struct<text:string>>"
+    parts = F.from_json(payload, part)
+    content = F.from_json(F.get_json_object(payload, "$.content"), part)
+    join = lambda a: F.array_join(F.transform(a, lambda p: F.coalesce(p["text"], F.lit(""))), "\n")
+    t = F.trim(payload)
+    return F.when(t.startswith("[") & parts.isNotNull(), join(parts)).when(t.startswith("{") & content.isNotNull(), join(content)).when(t.startswith("{") & F.get_json_object(payload, "$.text").isNotNull(), F.get_json_object(payload, "$.text")).otherwise(payload)
+
+
+def hmac_sha256(key: bytes, message: Column) -> Column:
+    """Hexadecimal HMAC-SHA-256 by its definition: two nested hashes over padded keys."""
+    import hashlib
+
+    k = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    pad = lambda x: F.unhex(F.lit(bytes(b ^ x for b in k).hex()))
+    return F.sha2(F.concat(pad(0x5C), F.unhex(F.sha2(F.concat(pad(0x36), F.encode(message, "UTF-8")), 256))), 256)
+
+
+def write_problems(name: Column, texts: Column) -> Column:
+    """What is wrong with an entity to be written: 'name' unless TIER:SCOPE:LABEL, 'tier' for an unknown tier, 'confidence' for a bracket over 1 or malformed."""
+    tiers = sorted({p for r in V.ENTITY_RULES.values() for p in r[0].split()})
+    bad = F.exists(texts, lambda t: t.rlike(r"^\[\d") & ~t.rlike(OBSERVATION) | (t.rlike(OBSERVATION) & (F.regexp_extract(t, OBSERVATION, 1).try_cast("double") > 1)))
+    return F.array_compact(F.array(F.when(~name.rlike(r"^[^:]+:[^:]+:.+$"), "name"), F.when(~name_prefix(name).isin(tiers), "tier"), F.when(bad, "confidence")))
+
+
+def scan_phases(path: Column) -> Column:
+    """Which parts of a project a changed file concerns."""
+    # Phase and the paths that belong to it.
+    rules = [("identity", r"(^|/)(package\.json|pyproject\.toml|go\.mod|Cargo\.toml|README\.md)$"), ("schema", r"(^|/)(prisma|migrations?|schema)(/|\.)|\.sql$"), ("routes", r"(^|/)(routes?|controllers?|api)/"), ("tests", r"(^|/)(tests?|__tests__|spec)/|\.(test|spec)\."), ("ci", r"(^|/)\.github/|(^|/)(Dockerfile|docker-compose\.ya?ml)$"), ("source", r"\.(m?[jt]sx?|py|java|go|rs|rb|php|vue|svelte)$")]
+    return F.array_compact(F.array(*[F.when(path.rlike(p), n) for n, p in rules]))
