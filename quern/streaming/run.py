@@ -17,9 +17,11 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str, files: int = 100) -
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
-def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
+def run_once(stream: DataFrame, mode: str = "append", one_batch: bool = False) -> DataFrame:
     """Everything the stream has now, as rows with `batch_id`; in complete mode only the last batch.
 
+    `one_batch` takes it all in a single batch, as folds with processing-time timers need: else their timers keep the stream running.
+
     Checkpoints and output lie in the shared folder; each batch has its own folder, so a repeated batch replaces itself.
     """
     spark = stream.sparkSession
@@ -30,7 +32,7 @@ def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
         last[:] = [batch_id]
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(**({"once": True} if one_batch else {"availableNow": True})).foreachBatch(write).start().awaitTermination()
     schema = T.StructType([*stream.schema.fields, T.StructField("batch_id", T.IntegerType())])
     out = spark.read.schema(schema).option("basePath", f"{base}/out").parquet(f"{base}/out") if last else spark.createDataFrame([], schema)
     return out.where(F.col("batch_id") == (last[0] if last else 0)).drop("batch_id") if mode == "complete" else out
