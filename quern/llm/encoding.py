@@ -25,7 +25,7 @@ SAMPLE_DOCS = 6_000
 HASH_BITS = 15
 #: Least log-likelihood gain of a stretch over clean text; swaps of single-byte encodings decode whatever they are given, so
 #: without control codes in the stretch they need more than chains over UTF-8, whose bytes rarely decode by chance.
-LEAST_GAIN, SWAP_GAIN = 9.0, 40.0
+LEAST_GAIN, SWAP_GAIN = 9.0, 50.0
 #: A document with a gain from this on (LEAST_GAIN if it holds control codes) is left out of the clean rows of the second training.
 EXCLUDE_GAIN = 40.0
 #: Of chains this near to the best over a stretch, the first in the list is taken.
