@@ -109,7 +109,7 @@ def member_call_gate(spark, sf):
 
 @c.query("""WITH t AS (SELECT doc_id, text || ' ' || text || ' ' || text AS text FROM documents WHERE text IS NOT NULL), p AS (SELECT doc_id, unnest(regexp_extract_all(text, '\\b([A-Z][a-z]+(?:[A-Z][a-z]+)+)\\b', 1)) AS name FROM t WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')) SELECT doc_id, name, count(*) AS n FROM p GROUP BY ALL HAVING n >= 3""")
 def pascal_mentions(spark, sf):
-    d = load(spark, sf, "documents").where("text is not null").where(~F.col("text").rlike(r"[^\x00-\x7f]"))
+    d = load(spark, sf, "documents").where("text is not null")
     return K.mentions(d.select("doc_id", F.concat_ws(" ", "text", "text", "text").alias("text")), most=1000).where("kind = 'pascal-case'").select("doc_id", "name", "n")
 
 
@@ -142,7 +142,7 @@ def blanked_comments(spark, sf):
 
 @c.query("SELECT doc_id, list_sort(list_distinct(list_transform(list_concat(flatten(list_transform(regexp_extract_all(text, '[\\w.-]+(?:/[\\w.-]+)+'), lambda p: string_split(p, '/'))), regexp_extract_all(text, '`([^`\n]+)`', 1), regexp_extract_all(text, '\\b[A-Z]{2,10}:\\w+'), string_split_regex(trim(text), '\\s+')[1:5]), lambda w: lower(w)))) AS words FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7f]') AND NOT regexp_matches(text, '^\\s|\\v')")
 def prompt_keywords(spark, sf):
-    d = load(spark, sf, "documents").where("text is not null").where(~F.col("text").rlike(r"[^\x00-\x7f]") & ~F.col("text").rlike(r"^\s|\x0b"))
+    d = load(spark, sf, "documents").where("text is not null")
     return d.select("doc_id", F.array_sort(K.prompt_keywords(F.col("text"))).alias("words"))
 
 
@@ -161,7 +161,7 @@ def public_symbols(spark, sf):
 
 @c.query("SELECT doc_id, CASE WHEN regexp_matches(lower(text), '\\b(fix|bug|error|crash|broken|fail(s|ed|ing)?)\\b') THEN 'bug' WHEN regexp_matches(lower(text), '\\b(add|implement|create|build|feature|support)\\b') THEN 'feature' WHEN regexp_matches(lower(text), '\\b(how|why|what|where|explain|understand|explore|find)\\b') THEN 'exploration' END AS task FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\\x00-\\x7f]')")
 def task_kinds(spark, sf):
-    d = load(spark, sf, "documents").where("text is not null").where(~F.col("text").rlike(r"[^\x00-\x7f]"))
+    d = load(spark, sf, "documents").where("text is not null")
     return d.select("doc_id", X.task_kind(F.col("text")).alias("task"))
 
 

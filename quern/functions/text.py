@@ -26,6 +26,10 @@ def edged(pattern: str) -> str:
     return pattern.replace(r"\b", EDGE)
 
 
+# Fixed value: white space beyond ASCII counts too when prompts are cut into words.
+BLANK = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+
+
 def all_matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
@@ -273,7 +277,8 @@ def plain_markdown(text: Column) -> Column:
 def task_kind(text: Column) -> Column:
     """'bug', 'feature' or 'exploration' by words of a prompt, in this order; null without any."""
     low = F.lower(text)
-    return F.when(low.rlike(r"\b(fix|bug|error|crash|broken|fail(s|ed|ing)?)\b"), "bug").when(low.rlike(r"\b(add|implement|create|build|feature|support)\b"), "feature").when(low.rlike(r"\b(how|why|what|where|explain|understand|explore|find)\b"), "exploration")
+    has = lambda words: low.rlike(edged(rf"\b({words})\b"))
+    return F.when(has("fix|bug|error|crash|broken|fail(s|ed|ing)?"), "bug").when(has("add|implement|create|build|feature|support"), "feature").when(has("how|why|what|where|explain|understand|explore|find"), "exploration")
 
 
 def recall_gate(prompt: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.functions.text import normal_path, resolve_module, shared_segments
+from quern.functions.text import BLANK, edged, normal_path, resolve_module, shared_segments
 
 FOUND = T.StructType([T.StructField(n, t) for n, t in (("path", T.StringType()), ("part", T.StringType()), ("kind", T.StringType()), ("name", T.StringType()), ("parent", T.StringType()), ("target", T.StringType()), ("line", T.IntegerType()), ("line_end", T.IntegerType()), ("exported", T.BooleanType()), ("confidence", T.DoubleType()), ("source", T.StringType()))])
 
@@ -350,7 +350,7 @@ MENTIONS = {
 
 def mentions(texts: DataFrame, key: str = "doc_id", most: int = 10) -> DataFrame:
     """`doc_id, name, kind, n`: up to `most` entities that each text mentions, the explicit ones first; a name has its first kind only."""
-    parts = [texts.select(key, F.explode(F.regexp_extract_all("text", F.lit(p), F.lit(1))).alias("name"), F.lit(i).alias("_k")).groupBy(key, "name", "_k").agg(F.count("*").alias("n")).where(F.col("n") >= least) for i, (p, least) in enumerate(MENTIONS.values())]
+    parts = [texts.select(key, F.explode(F.regexp_extract_all("text", F.lit(edged(p)), F.lit(1))).alias("name"), F.lit(i).alias("_k")).groupBy(key, "name", "_k").agg(F.count("*").alias("n")).where(F.col("n") >= least) for i, (p, least) in enumerate(MENTIONS.values())]
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
@@ -364,8 +364,9 @@ def prompt_keywords(text: Column) -> Column:
     """Path segments, backticked words, prefixed names and the first five words of a prompt, each once."""
     paths = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"[\w.-]+(?:/[\w.-]+)+"), F.lit(0)), lambda p: F.split(p, "/")))
     ticks = F.regexp_extract_all(text, F.lit(r"`([^`\n]+)`"), F.lit(1))
-    refs = F.regexp_extract_all(text, F.lit(r"\b[A-Z]{2,10}:\w+"), F.lit(0))
-    return F.array_distinct(F.transform(F.concat(paths, ticks, refs, F.slice(F.split(F.trim(text), r"\s+"), 1, 5)), lambda w: F.lower(w)))
+    refs = F.regexp_extract_all(text, F.lit(edged(r"\b[A-Z]{2,10}:\w+")), F.lit(0))
+    words = F.split(F.trim(F.regexp_replace(text, f"^{BLANK}+", "")), f"{BLANK}+")
+    return F.array_distinct(F.transform(F.concat(paths, ticks, refs, F.slice(words, 1, 5)), lambda w: F.lower(w)))
 
 
 def files_at_risk(impact: DataFrame, rules: DataFrame) -> DataFrame:
