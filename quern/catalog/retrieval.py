@@ -250,8 +250,8 @@ _MISSING = f"""tx AS (SELECT entity_id, array_to_string(list(text ORDER BY seq)[
 
 
 def _suggested(spark, sf):
-    e = S.with_observations(entities(spark, sf).where("lifecycle = 'active'"), observations(spark, sf), 3).withColumn("text", F.when(F.size("observations") > 0, F.array_join("observations", " ")))
-    return Q.missing_relations(e, relations(spark, sf))
+    texts = observations(spark, sf).select(F.col("entity_id").alias("id"), "text")
+    return Q.missing_relations(entities(spark, sf).where("lifecycle = 'active'"), texts, relations(spark, sf))
 
 
 @c.query(f"WITH {ENT}, {OBS}, {REL}, {_MISSING} SELECT a, b, shared, floor(confidence * 1e6 + 0.5) / 1e6 AS confidence FROM prs WHERE NOT EXISTS (SELECT 1 FROM rel WHERE (from_name = an AND to_name = bn) OR (from_name = bn AND to_name = an)) UNION ALL SELECT 'count', 'of', count(*), 0 FROM prs WHERE NOT EXISTS (SELECT 1 FROM rel WHERE (from_name = an AND to_name = bn) OR (from_name = bn AND to_name = an))")

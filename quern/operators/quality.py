@@ -70,16 +70,18 @@ def schema_problems(entities: DataFrame) -> DataFrame:
     return entities.withColumn("problems", problems).where(F.size("problems") > 0)
 
 
-def missing_relations(entities: DataFrame, relations: DataFrame, most: int = 5) -> DataFrame:
-    """`a, b, shared, confidence`: pairs of entities (`id, name, entity_type, text`) that share rare tokens and have no relation.
+def missing_relations(entities: DataFrame, texts: DataFrame, relations: DataFrame, most: int = 5) -> DataFrame:
+    """`a, b, shared, confidence`: pairs of entities (`id, name, entity_type`) that share rare tokens of their names and `texts` (`id, text`, any number of rows each) and have no relation.
 
     A rare token occurs in two to `most` entities of all (and in no more than 5 %, two at least), so a token makes at most `most`
     squared pairs.  Pairs need one scope, types that go together and two shared tokens.
     """
-    rows = entities.select("id", "name", "entity_type", F.coalesce(X.scope_segment(F.col("name")), F.lit("")).alias("scope"), F.explode(X.quality_tokens(F.concat_ws(" ", "name", "text"))).alias("token"))
+    nodes = entities.select("id", "name", "entity_type", F.coalesce(X.scope_segment(F.col("name")), F.lit("")).alias("scope"))
+    said = nodes.select("id", F.col("name").alias("text")).unionByName(texts.join(nodes.select("id"), "id", "left_semi").select("id", "text"))
+    tokens = said.select("id", F.explode(X.quality_tokens(F.col("text"))).alias("token")).distinct()
     total = F.broadcast(entities.agg(F.greatest(F.lit(2), F.floor(F.count("*") * 0.05)).alias("_cap")))  # one row
-    rare = rows.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df").between(2, most)).crossJoin(total).where("df <= _cap").drop("_cap")
-    rows = rows.join(rare, "token")
+    rare = tokens.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df").between(2, most)).crossJoin(total).where("df <= _cap").drop("_cap")
+    rows = tokens.join(rare, "token").join(nodes, "id")
     a, b = rows.alias("a"), rows.alias("b")
     pair = F.concat_ws("|", F.least("a.entity_type", "b.entity_type"), F.greatest("a.entity_type", "b.entity_type"))
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.scope") == F.col("b.scope")) & (F.col("a.id") < F.col("b.id"))).where(pair.isin(V.TYPE_PAIRS))

@@ -39,3 +39,15 @@ def test_prompts_beyond_ascii(run):
     assert {(r["doc_id"], r["name"], r["n"]) for r in run("pascal_mentions", docs)} == {(6, "UserCard", 3)}
     got = {r["doc_id"]: set(r["words"]) for r in run("prompt_keywords", [*docs, (7, "　một hai　ba", "note")])}
     assert got[3] == {"add", "rule:x", "to", "café/menu"} and got[7] == {"một", "hai", "ba"} and set(got) == {1, 2, 3, 4, 6, 7}
+
+
+def _said(*texts, of="e1"):
+    return [(f"{of}-o{i}", of, t, i) for i, t in enumerate(texts)]
+
+
+def test_missing_relations_reads_every_text(run):
+    ents = [("e1", "A:Scope:one", "biz-domain", None, "active"), ("e2", "A:Scope:two", "biz-rule", None, "active"), ("e3", "A:Scope:three", "biz-rule", None, "archived")]
+    obs = [*_said("p", "q", "r", "zirconium", "palladium zirconium"), *_said("s", "t", "u", "zirconium", "palladium", of="e2"), *_said("zirconium", of="e3")]
+    assert ("e1", "e2") in {(r["a"], r["b"]) for r in run("missing_relations", entities=ents, observations=obs)}
+    known = [("r", "A:Scope:two", "A:Scope:one", "uses")]
+    assert [(r["a"], r["shared"]) for r in run("missing_relations", entities=ents, observations=obs, relations=known)] == [("count", 0)]
