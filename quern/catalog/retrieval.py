@@ -61,7 +61,7 @@ def prefix_match(spark, sf):
 
 def _cards(spark, sf):
     """Entities with their texts joined, as documents."""
-    e = S.with_observations(entities(spark, sf).where("lifecycle = 'active'"), observations(spark, sf), 5)
+    e = S.with_observations(entities(spark, sf).where("lifecycle = 'active'"), observations(spark, sf))
     return e.select(F.col("id").alias("doc_id"), F.concat_ws(" ", "name", "entity_type").alias("name"), F.array_join("observations", " ").alias("text"), "project_id", F.col("name").alias("label"), "observations", "entity_type")
 
 
@@ -82,7 +82,10 @@ _EXACT = f"""{_CARDS}, {_PROMPTS}, w AS (SELECT query_id, unnest(string_split_re
 
 
 def _exact(spark, sf):
-    return R.exact_tokens(_cards(spark, sf), R.query_terms(_prompts(spark, sf)), 10)
+    """Over a row for each entity's name and one for each of its texts: their tokens meet by entity, and no list of texts is built."""
+    names = entities(spark, sf).where("lifecycle = 'active'").select(F.col("id").alias("doc_id"), F.concat_ws(" ", "name", "entity_type").alias("name"), F.lit("").alias("text"))
+    texts = observations(spark, sf).select(F.col("entity_id").alias("doc_id"), F.lit("").alias("name"), "text").join(names.select("doc_id"), "doc_id", "left_semi")
+    return R.exact_tokens(names.unionByName(texts), R.query_terms(_prompts(spark, sf)), 10)
 
 
 @c.query(f"WITH {_EXACT} SELECT query_id, doc_id, floor(score * 1e6 + 0.5) / 1e6 AS score, rank FROM ex")
@@ -94,7 +97,7 @@ def exact_token_search(spark, sf):
 def scoped_search(spark, sf):
     from quern.catalog.store import busiest_project
 
-    hits = _exact(spark, sf).join(_cards(spark, sf).select("doc_id", "project_id"), "doc_id")
+    hits = _exact(spark, sf).join(entities(spark, sf).select(F.col("id").alias("doc_id"), "project_id"), "doc_id")
     mine = F.coalesce(F.col("project_id") == busiest_project(spark, sf), F.lit(True))
     return R.scope_first(hits, mine).select("query_id", "doc_id", "fallback")
 

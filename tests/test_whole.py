@@ -51,3 +51,9 @@ def test_missing_relations_reads_every_text(run):
     assert ("e1", "e2") in {(r["a"], r["b"]) for r in run("missing_relations", entities=ents, observations=obs)}
     known = [("r", "A:Scope:two", "A:Scope:one", "uses")]
     assert [(r["a"], r["shared"]) for r in run("missing_relations", entities=ents, observations=obs, relations=known)] == [("count", 0)]
+
+
+def test_search_indexes_every_text(run):
+    ents = [("e1", "A:B:c", "tech-stack", None, "active"), ("e2", "D:E:f", "tech-stack", None, "archived")]
+    obs = [*_said("one", "two", "three", "four", "five", "zirconium"), *_said("zirconium", of="e2"), ("ask", None, "zirconium", 100)]
+    assert [(r["query_id"], r["doc_id"], r["score"]) for r in run("exact_token_search", entities=ents, observations=obs) if r["query_id"] == 100] == [(100, "e1", 0.4)]
