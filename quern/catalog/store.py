@@ -188,7 +188,7 @@ def open_nodes(spark, sf):
 
 
 def _sides(spark, sf):
-    e = S.with_observations(entities(spark, sf), observations(spark, sf), 2)
+    e = S.with_observations(entities(spark, sf), observations(spark, sf))
     key = F.conv(F.substring("id", 1, 2), 16, 10).cast("int")
     one = S.latest(e.withColumn("_k", key).select("project_id", "name", "id", "entity_type", "lifecycle", "observations", "_k"), ["project_id", "name"], [F.col("id")])
     left = one.where("_k % 3 <> 0").drop("_k", "id")
@@ -269,9 +269,9 @@ def review_queue(spark, sf):
 @c.query(f"""WITH {ENT}, {OBS}, l AS (SELECT 1 AS x FROM (SELECT DISTINCT name FROM ent)), b AS (SELECT id FROM ent WHERE substr(id, 1, 1) = '0')
  SELECT (SELECT count(*) FROM l) + (SELECT count(*) FROM b) AS lines, (SELECT count(*) FROM b) AS bad_lines, (SELECT count(*) FROM l) AS entities, 0::BIGINT AS relations, (SELECT sum(len(o)) FROM (SELECT list(text ORDER BY seq)[1:2] AS o, e.name FROM ent e JOIN obs ON obs.entity_id = e.id WHERE e.id IN (SELECT max(id) FROM ent GROUP BY name) GROUP BY e.id, e.name))::BIGINT AS observations""")
 def jsonl_scan(spark, sf):
-    e = S.with_observations(entities(spark, sf), observations(spark, sf), 2)
+    e = S.with_observations(entities(spark, sf), observations(spark, sf))
     one = S.latest(e, ["name"], [F.col("id")])
-    lines = L.as_lines(one, relations(spark, sf).limit(0)).select("value").unionByName(entities(spark, sf).where("substr(id, 1, 1) = '0'").select(F.concat(F.lit('{"type": '), F.col("id")).alias("value")))
+    lines = L.as_lines(one, relations(spark, sf)).select("value").unionByName(entities(spark, sf).where("substr(id, 1, 1) = '0'").select(F.concat(F.lit('{"type": '), F.col("id")).alias("value")))
     return L.line_counts(L.parsed_lines(lines))
 
 

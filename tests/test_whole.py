@@ -57,3 +57,11 @@ def test_search_indexes_every_text(run):
     ents = [("e1", "A:B:c", "tech-stack", None, "active"), ("e2", "D:E:f", "tech-stack", None, "archived")]
     obs = [*_said("one", "two", "three", "four", "five", "zirconium"), *_said("zirconium", of="e2"), ("ask", None, "zirconium", 100)]
     assert [(r["query_id"], r["doc_id"], r["score"]) for r in run("exact_token_search", entities=ents, observations=obs) if r["query_id"] == 100] == [(100, "e1", 0.4)]
+
+
+def test_merge_and_scan_hold_every_text(run):
+    ents = [("d0", "A:B:c", "tech-stack", "p", "active")]  # on both sides, with a note more on the right
+    obs = _said("one", "two", "three", of="d0")
+    assert [(r["observations"], r["outcome"]) for r in run("entity_merge", entities=ents, observations=obs)] == [(["NOTE: more", "one", "three", "two"], "merged")]
+    line = run("jsonl_scan", entities=ents, observations=obs, relations=[("r1", "A:B:c", "D", "uses"), ("r2", "D", "A:B:c", "uses")])[0]
+    assert (line["entities"], line["relations"], line["observations"], line["bad_lines"]) == (1, 2, 3, 0)
