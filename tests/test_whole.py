@@ -65,3 +65,11 @@ def test_merge_and_scan_hold_every_text(run):
     assert [(r["observations"], r["outcome"]) for r in run("entity_merge", entities=ents, observations=obs)] == [(["NOTE: more", "one", "three", "two"], "merged")]
     line = run("jsonl_scan", entities=ents, observations=obs, relations=[("r1", "A:B:c", "D", "uses"), ("r2", "D", "A:B:c", "uses")])[0]
     assert (line["entities"], line["relations"], line["observations"], line["bad_lines"]) == (1, 2, 3, 0)
+
+
+def test_every_symbol_is_a_reference(run):
+    code = [(1, "\n".join(f"function f{i}() {{}}" for i in range(12)), "code_file"), (2, "function f0() {}", "code_file")]
+    ids = {f"src/s/1.mjs::f{i}" for i in range(12)} | {"src/s/2.mjs::f0"}
+    for query in ("best_candidates", "import_resolution", "resolution_cascade"):
+        assert {r["ref_id"] for r in run(query, code)} == ids
+    assert {(r["ref_id"], r["target"]) for r in run("candidate_scores", code)} == {(i, i) for i in ids} | {("src/s/1.mjs::f0", "src/s/2.mjs::f0"), ("src/s/2.mjs::f0", "src/s/1.mjs::f0")}
