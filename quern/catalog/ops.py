@@ -94,7 +94,7 @@ def entry_points(spark, sf):
 
 @c.query()
 def process_detection(spark, sf):
-    return G.processes(_symbols(spark, sf), _edges(spark, sf), 10, 20)
+    return G.processes(_symbols(spark, sf), _edges(spark, sf))
 
 
 @c.query(f"WITH {_G} SELECT file, count(*) AS n, count(*) FILTER (exported) AS exported FROM sym GROUP BY 1")

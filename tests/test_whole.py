@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from quern.catalog import ops
 
 T0 = dt.datetime(2025, 1, 1, tzinfo=dt.timezone.utc)
 
@@ -73,3 +74,10 @@ def test_every_symbol_is_a_reference(run):
     for query in ("best_candidates", "import_resolution", "resolution_cascade"):
         assert {r["ref_id"] for r in run(query, code)} == ids
     assert {(r["ref_id"], r["target"]) for r in run("candidate_scores", code)} == {(i, i) for i in ids} | {("src/s/1.mjs::f0", "src/s/2.mjs::f0"), ("src/s/2.mjs::f0", "src/s/1.mjs::f0")}
+
+
+def test_processes_of_every_entry_point_up_to_fifty(spark, monkeypatch):
+    symbols = spark.createDataFrame([(f"n{i:02d}", f"run{i}", "src/app.ts", "function", True) for i in range(60)] + [("x", "helper", "src/app.ts", "function", False)], "id string, name string, file string, kind string, exported boolean")
+    monkeypatch.setattr(ops, "_symbols", lambda *_: symbols)
+    monkeypatch.setattr(ops, "_edges", lambda *_: symbols.where("id <> 'x'").select(F.col("id").alias("src"), F.lit("x").alias("dst")))
+    assert {r["start"] for r in ops.process_detection(spark, "").collect()} == {f"n{i:02d}" for i in range(50)}
