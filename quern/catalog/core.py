@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators.hierarchy import descendants, hierarchy
+from quern.operators.hierarchy import descendants, hierarchy, pointers
 from quern.operators.intervals import periods_and_gaps
 from quern.operators.references import orphan_references, orphan_report
 from quern.operators.rolling import daily_series, trailing_totals
@@ -37,7 +37,9 @@ def p2_paths(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, sf: str) -> DataFrame:
-    return descendants(hierarchy(load(spark, sf, "diag_operation"), with_path=True))
+    rows = load(spark, sf, "diag_operation")
+    links = pointers(rows)
+    return descendants(hierarchy(rows, with_path=True, links=links), links)
 
 
 def _rolling(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quern.catalog import ops
+from quern.operators import hierarchy as H
 
 T0 = dt.datetime(2025, 1, 1, tzinfo=dt.timezone.utc)
 
@@ -81,3 +82,22 @@ def test_processes_of_every_entry_point_up_to_fifty(spark, monkeypatch):
     monkeypatch.setattr(ops, "_symbols", lambda *_: symbols)
     monkeypatch.setattr(ops, "_edges", lambda *_: symbols.where("id <> 'x'").select(F.col("id").alias("src"), F.lit("x").alias("dst")))
     assert {r["start"] for r in ops.process_detection(spark, "").collect()} == {f"n{i:02d}" for i in range(50)}
+
+
+def test_descendants_in_and_below_rings(spark):
+    up = {"r1": "r2", "r2": "r3", "r3": "r1", "b": "r2", "c": "b", "d": "c", "self": "self", "s1": "self", "s2": "s1", "top": None, "t1": "top", "t2": "T1 "}
+    up |= {f"x{i}": f"x{i - 1}" for i in range(1, 40)} | {"x0": "x20", "y": "x3"}  # a ring of 21 with a tail of 19
+    rows = spark.createDataFrame([(k, v, T0) for k, v in up.items()], "id string, parent_id string, created_at timestamp")
+    links = H.pointers(rows)
+    got = [tuple(r) for r in H.descendants(H.hierarchy(rows, True, links), links).select("op_id", "descendant_id", "distance").collect()]
+    want = set()
+    for node in up:
+        cur, seen = up[node], []
+        while cur and (cur := cur.strip().lower()) in up and cur != node and cur not in seen:
+            seen.append(cur)
+            cur = up[cur]
+        want |= {(a, node, n + 1) for n, a in enumerate(seen)}
+    assert len(got) == len(set(got)) and set(got) == want
+    none = rows.where("id like 't%'")
+    links = H.pointers(none)
+    assert H.descendants(H.hierarchy(none, True, links), links).count() == 3
