@@ -283,8 +283,8 @@ def task_kind(text: Column) -> Column:
 
 def recall_gate(prompt: Column) -> Column:
     """Why a prompt is worth a look into the store ('long', 'code token', 'code word', 'knowledge word', 'medium') or not ('empty', 'short')."""
-    t, low = F.trim(prompt), F.lower(prompt)
-    n = F.size(F.split(t, r"\s+"))
+    t, low = F.regexp_replace(prompt, f"^{BLANK}+|{BLANK}+$", ""), F.lower(prompt)
+    n = F.size(F.split(t, f"{BLANK}+"))
     code = t.rlike(edged(r"\b(?:[a-z]+(?:[A-Z][a-z]*)+|[A-Z][a-z]+(?:[A-Z][a-z]*)+|[a-z]+(?:_[a-z]+)+)\b")) | t.rlike(edged(r"\b[\w\-./\\]+\.(?:m?[jt]sx?|py|java|go|rs|rb|php|cs|kt|swift|sql|sh|md|json|ya?ml|toml|html|css|xml)\b")) | t.rlike(edged(r"\b[\w\-]+[/\\][\w\-./\\]+"))
     words = lambda ws: low.rlike(edged(r"\b(?:" + "|".join(ws) + r")\b"))
     return F.when(t.isNull() | (t == ""), "empty").when(n > 30, "long").when(code, "code token").when(words(V.CODE_WORDS), "code word").when(words(V.KNOWLEDGE_WORDS), "knowledge word").when(n <= 8, "short").otherwise("medium")

@@ -101,3 +101,13 @@ def test_descendants_in_and_below_rings(spark):
     none = rows.where("id like 't%'")
     links = H.pointers(none)
     assert H.descendants(H.hierarchy(none, True, links), links).count() == 3
+
+
+def test_texts_with_errors_marks_and_rarer_blanks(run):
+    docs = [(1, "start\nError: ENOENT /srv/a/b.js at 12", "note"), (2, "Traceback (most recent call last)", "note"), (3, "é\U0001f600 ‍️", "note"), (4, " hello　there ", "note"), (5, "  ", "note"), (6, "# head\r\n---\r\n**b** > q", "note"), (7, "fine", "note")]
+    assert {r["doc_id"]: r["fingerprint"] for r in run("error_fingerprints", docs)} == {1: "Error: ENOENT <path> at <n>", 2: docs[1][1], 3: docs[2][1], 4: docs[3][1], 5: docs[4][1], 6: "# head\r", 7: "fine"}
+    assert {r["doc_id"]: r["shown"] for r in run("capped_texts", [*docs, (8, "\U0001f600" * 1499 + "é", "note")])} == {i: t for i, t, _ in docs} | {8: "\U0001f600" * 1499 + "e"}
+    assert {r["doc_id"]: r["gate"] for r in run("recall_gates", docs)} | {1: "", 2: "", 6: ""} == {1: "", 2: "", 3: "short", 4: "short", 5: "empty", 6: "", 7: "short"}
+    assert {r["doc_id"]: r["plain"] for r in run("markdown_stripped", docs)}[6] == "head\r\n\r\nb q"
+    code = "a // ́\U0001f600\n\U0001f600 /* x\ny */"
+    assert [tuple(r) for r in run("blanked_comments", [(1, code, "code_file")])] == [("src/s/1.mjs", len(code), 3)]
