@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Days of a block that missing days are made in.
+BLOCK_DAYS = 8192
+
 
 def daily_series(rows: DataFrame, keys: list[str], day: str, values: list[str], identity: str | None) -> DataFrame:
     """One row for each key and each day from its first to its last: `keys, day, values`.
@@ -25,7 +28,11 @@ def daily_series(rows: DataFrame, keys: list[str], day: str, values: list[str],
         rows = apart.groupBy("_id", "_row").agg(F.min("r").alias("r")).select("r.*")
     daily = rows.groupBy(*keys, day).agg(*[F.coalesce(F.sum(v), F.lit(0)).cast("long").alias(v) for v in values])
     w = Window.partitionBy(*keys).orderBy(day)
-    spans = daily.withColumn("_next", F.lead(day).over(w)).select(*keys, F.col(day).alias("_day"), *values, F.explode(F.sequence(F.col(day), F.greatest(F.col(day), F.coalesce(F.col("_next") - 1, F.col(day))))).alias(day))
+    nxt = F.greatest(F.col(day), F.coalesce(F.lead(day).over(w) - 1, F.col(day)))
+    spans = daily.withColumn("_to", nxt.cast("long")).withColumn("_day", F.col(day).cast("long"))
+    # days without activity come in blocks, so that a stray day far away makes rows but no array without bound
+    starts = F.explode(F.sequence(F.col("_day"), F.col("_to"), F.lit(BLOCK_DAYS).cast("long")))
+    spans = spans.withColumn("_from", starts).select(*keys, "_day", *values, F.explode(F.sequence("_from", F.least(F.col("_to"), F.col("_from") + (BLOCK_DAYS - 1)))).alias("_d")).select(*keys, "_day", *values, F.col("_d").cast(rows.schema[day].dataType).alias(day))
     return spans.select(*keys, day, *[F.when(F.col(day) == F.col("_day"), F.col(v)).otherwise(F.lit(0)).cast("long").alias(v) for v in values])
 
 

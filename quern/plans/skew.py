@@ -21,6 +21,14 @@ def hot_keys(counts: DataFrame, key: str, n: str = "n") -> list[int]:
     return [r[0] for r in counts.where(F.col(n) >= least).select(F.xxhash64(key)).distinct().collect()]
 
 
+def hot_in(rows: DataFrame, key: str, total: int) -> list[int]:
+    """The same for `rows` themselves, whose number is known; too few rows have no hot key and are not looked at."""
+    if total < HOT_ROWS:
+        return []
+    least = max(HOT_ROWS, total // HOT_SHARE + 1)
+    return [r[0] for r in rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(F.xxhash64(key)).distinct().collect()]
+
+
 def salted_join(left: DataFrame, right: DataFrame, key: str, hot: list[int], spread: Column, how: str = "inner") -> DataFrame:
     """`left` joined with `right` (few rows for each key) on `key`; rows of hot keys are spread over SALTS parts.
 

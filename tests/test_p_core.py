@@ -94,8 +94,10 @@ def _solve(rows):
     return out
 
 
-@pytest.mark.parametrize("kind", ["chain", "random", "star", "tree"])
-def test_hierarchy(spark, kind):
+@pytest.mark.parametrize("kind, hot_rows", [("chain", 20_000), ("random", 20_000), ("star", 10), ("tree", 20_000), ("random", 10)])
+def test_hierarchy(spark, monkeypatch, kind, hot_rows):
+    monkeypatch.setattr(skew, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(H, "HOT_ROWS", hot_rows)
     rows = _tree(random.Random(kind), 150, kind)
     got = {r["op_id"]: (r["root_id"], r["depth"], r["path"]) for r in H.hierarchy(spark.createDataFrame(rows, NODE), with_path=True).collect()}
     assert got == _solve(rows)
@@ -116,6 +118,28 @@ def test_hierarchy_with_splitterless_ring_and_branches(spark):
     assert H.hierarchy(spark.createDataFrame([], NODE), True).count() == 0
 
 
+def test_a_stray_day_makes_no_array(spark):
+    df = spark.createDataFrame([(0, 1), (2_147_483, 2), (2_147_483_000, 3)], "day int, failures long")
+    series = rolling.daily_series(df.where("day < 2147483000").withColumn("k", F.lit("k")), ["k"], "day", ["failures"], None)
+    assert tuple(series.agg(F.count("*"), F.sum("failures"), F.max("day"), F.count_distinct("day")).first()) == (2_147_484, 3, 2_147_483, 2_147_484)
+    assert series.schema["day"].dataType.simpleString() == "int"
+
+
+def test_tables_need_a_shared_folder_on_a_cluster(spark, monkeypatch, tmp_path):
+    from quern.plans import tables
+
+    assert [tables.one_machine(m) for m in ("local", "local[8]", "local[*]", "local-cluster[3,2,1000]", "yarn", "spark://h:7077", "k8s://h")] == [True] * 3 + [False] * 4
+    monkeypatch.setattr(tables, "one_machine", lambda m: False)
+    monkeypatch.setattr(tables, "named_folder", lambda s: None)
+    with pytest.raises(RuntimeError):
+        tables.shared_root(spark)
+    monkeypatch.setattr(tables, "named_folder", lambda s: f"file://{tmp_path}/")
+    kept = tables.written(spark.range(3), "kept")
+    assert kept._written_to.startswith(f"file://{tmp_path}/quern/") and kept.count() == 3
+    tables.discard(kept)
+    assert not list(tmp_path.glob("quern/*/kept-*"))
+
+
 def test_rolling(spark):
     rng = random.Random(3)
     rows = [(rng.choice([None, *range(100, 140), 200]), rng.choice(["a", "b", ""]), rng.choice(["x", None]), rng.choice([None, 1, 5]), rng.choice([None, 2]), None if rng.random() < 0.1 else f"i{n}", 7) for n in range(200)]
