@@ -110,8 +110,8 @@ def pack_check(docs: DataFrame, containers: DataFrame, folder: str = TOKENIZERS)
     parts = held.select("container_kind", "capacity", ((F.col("used") <= F.col("capacity")) & (F.col("used") == F.col("_sum"))).alias("ok"), F.explode("texts").alias("t")).select("container_kind", "capacity", "ok", "t.*")
     one = parts.groupBy("container_kind", "doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "tokens"))).alias("p"), F.min("ok").alias("fits"), F.max("capacity").alias("capacity"))
     end = F.aggregate("p", F.lit(0).cast("long"), lambda a, x: F.when(x["start"] == a, a + x["tokens"]).otherwise(F.lit(None)))
-    kinds = containers.select("container_kind", "tokenizer").where("tokenizer is not null").distinct()
+    kinds = containers.where("capacity > 0 and tokenizer is not null and container_kind is not null").select("container_kind", "tokenizer").distinct()
     names = sorted(r[0] for r in kinds.select("tokenizer").distinct().collect())
-    counts = token_counts(docs.select("doc_id", "text").where("text <> ''"), "doc_id", "text", names, folder).join(F.broadcast(kinds), "tokenizer").select("container_kind", "doc_id", "n_tokens")
+    counts = token_counts(docs.select("doc_id", "text").where("text <> ''"), "doc_id", "text", names, folder).where("n_tokens > 0").join(F.broadcast(kinds), "tokenizer").select("container_kind", "doc_id", "n_tokens")
     both = one.join(counts, ["container_kind", "doc_id"], "full_outer")
     return both.select("container_kind", "doc_id", F.coalesce(end == F.col("n_tokens"), F.lit(False)).alias("whole"), F.coalesce("fits", F.lit(False)).alias("fits"), F.coalesce((F.size("p") > 1) & (F.col("n_tokens") <= F.col("capacity")), F.lit(False)).alias("needless"))
