@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.catalog import Catalog
+from quern.catalog import fixtures as FX
 from quern.catalog.code import _F, _files
 from quern.catalog.code import _symbols as _code_symbols
 from quern.catalog.ops import SQL as OPS
 from quern.catalog.ops import _BK, _CALLS, _EV, _G, _UP, _bfs, _buckets, _calls, _edges, _fault_events, _symbols, _targets
 from quern.catalog.retrieval import _CARDS, _cards
-from quern.catalog.store import ENT, OBS, REL, busiest_project, entities, observations, relations
+from quern.catalog.store import ENT, OBS, REL, entities, observations, relations
 from quern.functions import text as X
 from quern.functions import vocab as V
 from quern.operators import code as K
@@ -69,9 +70,17 @@ def code_graph_scan(spark, sf):
     return p.groupBy(F.when(F.col("bad"), "bad").otherwise(F.col("record.type")).alias("part")).agg(F.count("*").alias("n"))
 
 
-@c.query(f"WITH {ENT} SELECT id, list_filter([CASE WHEN NOT regexp_matches(name, '^[^:]+:[^:]+:.+$') THEN 'name' END, CASE WHEN upper(trim(split_part(name, ':', 1))) NOT IN ({', '.join(repr(t) for t in sorted({p for r in V.ENTITY_RULES.values() for p in r[0].split()}))}) THEN 'tier' END], lambda x: x IS NOT NULL) AS problems FROM ent")
+_TIERS = ", ".join(repr(t) for t in sorted({p for r in V.ENTITY_RULES.values() for p in r[0].split()}))
+
+
+@c.query(f"""WITH {ENT}, {OBS}, r AS (SELECT o.id, e.name, o.raw_text AS t FROM obs o JOIN ent e ON e.id = o.entity_id WHERE o.raw_text IS NOT NULL), x AS (SELECT id, name, t, regexp_extract(t, '^\\[(\\d\\.?\\d*)(?:\\|(\\d{{4}}-\\d{{2}}-\\d{{2}}))?\\]\\s*', 1) AS n FROM (SELECT id, name, t FROM r UNION ALL SELECT id || '!', name, '[7' || substr(t, 2) FROM r) r)
+ SELECT id, list_filter([CASE WHEN NOT regexp_matches(name, '^[^:]+:[^:]+:.+$') THEN 'name' END, CASE WHEN upper(trim(split_part(name, ':', 1))) NOT IN ({_TIERS}) THEN 'tier' END,
+ CASE WHEN (regexp_matches(t, '^\\[\\d') AND n = '') OR (n <> '' AND try_cast(n AS DOUBLE) > 1) THEN 'confidence' END], lambda x: x IS NOT NULL) AS problems FROM x""")
 def write_validation(spark, sf):
-    return entities(spark, sf).select("id", X.write_problems(F.col("name"), F.array(F.lit("[0.5] fine"))).alias("problems"))
+    """Every older text as it would be written again, and once more with its bracket spoiled."""
+    r = observations(spark, sf).where("raw_text is not null").select("id", "entity_id", F.col("raw_text").alias("t"))
+    r = r.unionByName(r.select(F.concat("id", F.lit("!")).alias("id"), "entity_id", F.concat(F.lit("[7"), F.substring("t", 2, 1 << 30)).alias("t")))
+    return r.join(entities(spark, sf).select(F.col("id").alias("entity_id"), "name"), "entity_id").select("id", X.write_problems(F.col("name"), F.array("t")).alias("problems"))
 
 
 @c.query(f"WITH {_G} SELECT id, name FROM sym WHERE contains(lower(name), 'sess') OR contains(lower(id), 'cache')")
@@ -121,7 +130,8 @@ def adaptive_budget(spark, sf):
 
 @c.query(f"WITH {OBS} SELECT entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY updated_at DESC NULLS LAST, seq) AS rank, seq, text FROM obs WHERE entity_id IS NOT NULL QUALIFY rank <= 5")
 def history_newest(spark, sf):
-    o = observations(spark, sf).where("entity_id is not null")
+    # the newest five of an entity are found before anything is gathered
+    o = S.keep_newest(observations(spark, sf).where("entity_id is not null"), [F.col("updated_at").desc_nulls_last(), F.col("seq")], 5, ["entity_id"])
     item = F.struct(F.col("text").alias("content"), F.array(F.struct(F.col("updated_at").alias("changed_at"), "seq")).alias("history"))
     one = o.groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", item.alias("i")))), lambda x: x["i"]).alias("obs"))
     return S.history_rows(one, "entity_id", "obs", 5).select("entity_id", F.col("rank").cast("long").alias("rank"), "seq", F.col("content").alias("text"))
@@ -153,12 +163,10 @@ def case_forms(spark, sf):
     return load(spark, sf, "projects").select("id", X.pascal_case(n).alias("pascal"), X.kebab_to_pascal(n).alias("component"))
 
 
-_MD = "text"
-for _p, _to in X.MARKDOWN_RULES:
-    _MD = "regexp_replace({}, '{}', '{}', 'g')".format(_MD, _p.replace("\\n", "\n").replace("'", "''"), _to.replace("$1", r"\1"))
-
-
-@c.query(f"SELECT doc_id, trim({_MD}) AS plain FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[\\x0b\\x0c\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]')")
+@c.query(r"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(text, '(?s)```.*?```', '', 'g'), '`([^`\n]*)`', '\1', 'g') AS t FROM documents WHERE text IS NOT NULL),
+ b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '!\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g') AS t FROM a),
+ c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '(?m)^#{1,6}[ \t]+', '', 'g'), '(?m)^>[ \t]?', '', 'g'), '(?m)^[-*_]{3,}[ \t]*$', '', 'g') AS t FROM b)
+ SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(t, '\*\*([^*\n]+)\*\*', '\1', 'g'), '\*([^*\n]+)\*', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS plain FROM c""")
 def markdown_stripped(spark, sf):
     d = _docs(spark, sf).where("text is not null")
     return d.select("doc_id", X.plain_markdown(F.col("text")).alias("plain"))
@@ -176,9 +184,13 @@ def scan_phases(spark, sf):
     return _files(spark, sf).select("path", X.scan_phases(F.col("path")).alias("phases")).distinct()
 
 
-@c.query(f"WITH {_CALLS}, t AS (SELECT tool, session, count(*) AS n FROM calls GROUP BY ALL) SELECT tool, session, n FROM t WHERE tool IN ('view', 'click')")
+_TOOLS = ["query", "context", "impact", "detect_changes", "index", "semantic_search", "search_nodes", "open_nodes", "create_entities", "add_observations", "create_relations", "unified_search", "session_start", "health", "read_graph", "archive", "audit_trail", "skill_search"]
+
+
+@c.query("SELECT t.name, p.profile, p.profile = 'full' OR t.name NOT IN ('read_graph', 'archive', 'audit_trail', 'skill_search') AS enabled FROM (" + FX.values([(t,) for t in _TOOLS]) + ") t(name), (VALUES ('core'), ('full')) p(profile)")
 def tool_profile(spark, sf):
-    return _calls(spark, sf).where(F.col("tool").isin("view", "click")).groupBy("tool", "session").agg(F.count("*").alias("n"))
+    tools = spark.createDataFrame([(t, p) for t in _TOOLS for p in ("core", "full")], "name string, profile string")
+    return tools.withColumn("enabled", (F.col("profile") == "full") | F.col("name").isin(V.CORE_TOOLS))
 
 
 @c.query(f"WITH {_G}, {_UP}, tg AS (SELECT id AS start FROM sym WHERE exported AND file LIKE '%/tech.ts'), d AS (SELECT t.start, count(DISTINCT u.dst) AS d1 FROM tg t LEFT JOIN up u ON u.src = t.start GROUP BY 1) SELECT start, d1 FROM d WHERE d1 > 0")
@@ -257,18 +269,17 @@ def member_relations(spark, sf):
     return K.member_of(s).groupBy(F.col("dst").alias("path")).agg(F.count("*").alias("n"))
 
 
-@c.query(f"WITH {ENT}, m AS (SELECT DISTINCT unnest(regexp_extract_all(text, '`((?:BIZ|TECH|PATTERN|INCIDENT|RULE|FLOW|ENTITY|DECISION|GOTCHA):[^`]+)`', 1)) AS name FROM documents) SELECT 'conversation' AS source, name, 1 AS n FROM m WHERE name NOT IN (SELECT name FROM ent) UNION ALL SELECT 'known', 'names', count(DISTINCT name) FROM ent")
+@c.query(f"WITH {ENT}, {REL}, t AS (SELECT id, 'Seen `' || from_name || '` and `TECH:' || to_name || '`.' AS text FROM rel WHERE from_name IS NOT NULL AND to_name IS NOT NULL), m AS (SELECT DISTINCT id, unnest(regexp_extract_all(text, '`((?:BIZ|TECH|PATTERN|INCIDENT|RULE|FLOW|ENTITY|DECISION|GOTCHA):[^`]+)`', 1)) AS name FROM t) SELECT 'conversation' AS source, name, count(*) AS n FROM m WHERE name NOT IN (SELECT name FROM ent) GROUP BY name")
 def transcript_capture(spark, sf):
-    """Entities named in texts that the store doesn't know yet, and how many it knows."""
-    e = entities(spark, sf)
-    found = K.mentions(_docs(spark, sf).select("doc_id", "text")).where("kind = 'explicit'").select("name").distinct().join(e.select("name"), "name", "left_anti")
-    known = e.agg(F.count_distinct("name").alias("n")).select(F.lit("known").alias("source"), F.lit("names").alias("name"), "n")
-    return found.groupBy("name").agg(F.count("*").alias("n")).select(F.lit("conversation").alias("source"), "name", "n").unionByName(known)
+    """Entities named in lines of talk about relations that the store doesn't know yet."""
+    talk = relations(spark, sf).where("from_name is not null and to_name is not null").select(F.col("id").alias("doc_id"), F.concat(F.lit("Seen `"), "from_name", F.lit("` and `TECH:"), "to_name", F.lit("`.")).alias("text"))
+    found = K.mentions(talk).where("kind = 'explicit'").select("doc_id", "name").join(entities(spark, sf).select("name"), "name", "left_anti")
+    return found.groupBy("name").agg(F.count("*").alias("n")).select(F.lit("conversation").alias("source"), "name", "n")
 
 
-@c.query(f"WITH {ENT}, p AS (SELECT min(id) AS pid FROM projects) SELECT e.entity_type, count(*) AS n FROM ent e, p WHERE e.project_id = pid GROUP BY 1")
+@c.query(f"WITH {ENT} SELECT project_id, entity_type, count(*) AS n FROM ent GROUP BY 1, 2")
 def minimal_detail(spark, sf):
-    return entities(spark, sf).where(F.col("project_id") == busiest_project(spark, sf)).groupBy("entity_type").agg(F.count("*").alias("n"))
+    return entities(spark, sf).groupBy("project_id", "entity_type").agg(F.count("*").alias("n"))
 
 
 @c.query(f"WITH {OBS} SELECT id, text AS content, false AS archived, 0 AS versions FROM obs")

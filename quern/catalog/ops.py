@@ -56,6 +56,40 @@ def related_depth_2(spark, sf):
     return G.related(_edges(spark, sf), _targets(spark, sf), 2)
 
 
+_LOWER = """low AS (SELECT lower(from_name) AS src, lower(to_name) AS dst FROM rel WHERE trim(from_name) <> '' AND trim(to_name) <> '' AND relation_type = 'depends_on'), lund AS (SELECT src, dst FROM low WHERE src <> dst UNION SELECT dst, src FROM low WHERE src <> dst),
+ spell AS (SELECT lower(n) AS node, min(n) AS n FROM (SELECT from_name AS n FROM rel WHERE trim(from_name) <> '' AND trim(to_name) <> '' AND relation_type = 'depends_on' UNION ALL SELECT to_name FROM rel WHERE trim(from_name) <> '' AND trim(to_name) <> '' AND relation_type = 'depends_on') GROUP BY 1)"""
+
+
+@c.query(f"WITH {_G}, {_LOWER}, {_bfs('lund', 5).replace('start AS node FROM targets', 'node FROM (SELECT DISTINCT lower(start) AS start, lower(start) AS node FROM targets)')} SELECT b.start, s.n AS node, b.depth FROM bfs b JOIN spell s ON s.node = b.node")
+def related_typed(spark, sf):
+    """Five hops along one type of relation, letter case ignored."""
+    r = relations(spark, sf).where("trim(from_name) <> '' and trim(to_name) <> ''").select(F.col("from_name").alias("src"), F.col("to_name").alias("dst"), F.col("relation_type").alias("kind"))
+    return G.related_typed(r, _targets(spark, sf), 5, "depends_on")
+
+
+@c.query(f"WITH {_G}, {_BOTH}, {_bfs('und', 3, 'JOIN sym ON sym.id = e.dst')} SELECT start, node, depth, floor(0.95::DOUBLE * pow(0.9::DOUBLE, depth - 1) * 100 + 0.5) / 100 AS confidence FROM bfs")
+def blast_both(spark, sf):
+    return G.blast_radius(_edges(spark, sf), _symbols(spark, sf), _targets(spark, sf), "both")
+
+
+@c.query(f"WITH {_G}, dn AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst), {_bfs('dn', 3, 'JOIN sym ON sym.id = e.dst')} SELECT start, node, depth, floor(0.95::DOUBLE * pow(0.9::DOUBLE, depth - 1) * 100 + 0.5) / 100 AS confidence FROM bfs")
+def blast_downstream(spark, sf):
+    return G.blast_radius(_edges(spark, sf), _symbols(spark, sf), _targets(spark, sf), "downstream")
+
+
+@c.query(f"WITH {_G}, ce AS (SELECT DISTINCT to_name AS src, from_name AS dst FROM rel WHERE trim(from_name) <> '' AND trim(to_name) <> '' AND from_name <> to_name AND relation_type = 'uses'), {_bfs('ce', 3)}, n AS (SELECT t.start, count(*) FILTER (depth = 1) AS d1, count(*) FILTER (depth = 2) AS d2, count(*) FILTER (depth = 3) AS d3 FROM targets t LEFT JOIN bfs b ON b.start = t.start GROUP BY 1) SELECT *, CASE WHEN d1 > 5 THEN 'HIGH' WHEN d1 > 0 THEN 'MEDIUM' ELSE 'LOW' END AS risk FROM n")
+def impact_of_calls(spark, sf):
+    """The quick check: edges of one kind only."""
+    r = relations(spark, sf).where("trim(from_name) <> '' and trim(to_name) <> ''").select(F.col("from_name").alias("src"), F.col("to_name").alias("dst"), F.col("relation_type").alias("kind"))
+    return G.impact_counts(r, _targets(spark, sf), kinds=["uses"])
+
+
+@c.query(f"WITH {_G}, k AS (SELECT DISTINCT from_name AS src, to_name AS dst, relation_type AS kind FROM rel WHERE trim(from_name) <> '' AND trim(to_name) <> '' AND from_name <> to_name) SELECT dst AS start, 'caller' AS side, src AS node, kind FROM k WHERE dst IN (SELECT start FROM targets) UNION ALL SELECT src, 'callee', dst, kind FROM k WHERE src IN (SELECT start FROM targets)")
+def incident_relations(spark, sf):
+    r = relations(spark, sf).where("trim(from_name) <> '' and trim(to_name) <> ''").select(F.col("from_name").alias("src"), F.col("to_name").alias("dst"), F.col("relation_type").alias("kind"))
+    return G.incident_relations(r, _targets(spark, sf))
+
+
 @c.query(f"WITH {_G}, {_UP}, {_bfs('up', 3, 'JOIN sym ON sym.id = e.dst')} SELECT start, node, depth, floor(0.95::DOUBLE * pow(0.9::DOUBLE, depth - 1) * 100 + 0.5) / 100 AS confidence FROM bfs")
 def blast_radius(spark, sf):
     return G.blast_radius(_edges(spark, sf), _symbols(spark, sf), _targets(spark, sf))
@@ -210,11 +244,12 @@ def fault_states(spark, sf):
     return E.fault_states(_fault_events(spark, sf))
 
 
-@c.query(f"""WITH {_EV}, p AS (SELECT fingerprint_id, first(id ORDER BY at_, id) AS a, first(id ORDER BY at_ DESC, id DESC) AS b, first(id ORDER BY duration_ms DESC NULLS LAST, at_ DESC, id DESC) AS c, min(id) AS d FROM ev GROUP BY 1),
- u AS (SELECT fingerprint_id, a AS id, 0 AS p FROM p UNION ALL SELECT fingerprint_id, b, 1 FROM p UNION ALL SELECT fingerprint_id, c, 2 FROM p UNION ALL SELECT fingerprint_id, d, 3 FROM p UNION ALL SELECT fingerprint_id, id, 10 + n FROM (SELECT fingerprint_id, id, row_number() OVER (PARTITION BY fingerprint_id ORDER BY at_ DESC, id DESC) AS n FROM ev) WHERE n <= 5),
- m AS (SELECT fingerprint_id, id, min(p) AS p FROM u GROUP BY ALL) SELECT fingerprint_id, id, ['first', 'last', 'slowest', 'smallest id', 'newest'][least(p, 4) + 1] AS why FROM m QUALIFY row_number() OVER (PARTITION BY fingerprint_id ORDER BY p, id) <= 5""")
+@c.query(f"""WITH {_EV}, back AS (SELECT fingerprint_id, min(at_) AS back FROM ev WHERE event = 'REGRESSED' GROUP BY 1), p AS (SELECT ev.fingerprint_id, first(id ORDER BY at_, id) AS a, first(id ORDER BY at_ DESC, id DESC) AS b, first(id ORDER BY duration_ms DESC NULLS LAST, at_ DESC, id DESC) AS c, first(id ORDER BY at_, id) FILTER (at_ >= back) AS r, min(id) AS d FROM ev LEFT JOIN back ON back.fingerprint_id = ev.fingerprint_id GROUP BY 1),
+ u AS (SELECT fingerprint_id, a AS id, 0 AS p FROM p UNION ALL SELECT fingerprint_id, b, 1 FROM p UNION ALL SELECT fingerprint_id, c, 2 FROM p UNION ALL SELECT fingerprint_id, r, 3 FROM p WHERE r IS NOT NULL UNION ALL SELECT fingerprint_id, d, 4 FROM p UNION ALL SELECT fingerprint_id, id, 10 + n FROM (SELECT fingerprint_id, id, row_number() OVER (PARTITION BY fingerprint_id ORDER BY at_ DESC, id DESC) AS n FROM ev) WHERE n <= 5),
+ m AS (SELECT fingerprint_id, id, min(p) AS p FROM u GROUP BY ALL) SELECT fingerprint_id, id, ['first', 'last', 'slowest', 'first since regression', 'smallest id', 'newest'][least(p, 5) + 1] AS why FROM m QUALIFY row_number() OVER (PARTITION BY fingerprint_id ORDER BY p, id) <= 5""")
 def bounded_sample(spark, sf):
-    return E.bounded_sample(_fault_events(spark, sf))
+    e = _fault_events(spark, sf)
+    return E.bounded_sample(e, e.where("event = 'REGRESSED'").select("fingerprint_id", "at"))
 
 
 @c.query(f"WITH {_OPS} SELECT id, created_at FROM ops WHERE created_at >= TIMESTAMPTZ '2026-06-01 00:00:00+00' - INTERVAL 90 DAY ORDER BY created_at DESC, id DESC LIMIT 100")
@@ -232,7 +267,7 @@ def transition_cap(spark, sf):
     return S.keep_newest(_fault_events(spark, sf).where("event <> 'occurrence'"), [F.col("at").desc(), F.col("id").desc()], 32, ["fingerprint_id"]).select("fingerprint_id", "id")
 
 
-@c.query("WITH s AS (SELECT DISTINCT * FROM runtime_sessions WHERE started_at IS NOT NULL), l AS (SELECT *, lead(started_at) OVER (PARTITION BY project_id, agent ORDER BY started_at, id) AS nxt FROM s) SELECT id, CASE WHEN kind = 'stable' AND ended_at IS NULL AND nxt IS NOT NULL AND heartbeat_at < nxt - INTERVAL 30 MINUTE THEN 'ABANDONED' WHEN ended_at IS NOT NULL THEN 'CLOSED' ELSE 'OPEN' END AS status FROM l")
+@c.query("WITH s AS (SELECT DISTINCT * FROM runtime_sessions WHERE started_at IS NOT NULL), l AS (SELECT *, CASE WHEN project_id IS NOT NULL AND agent IS NOT NULL THEN max(started_at) OVER (PARTITION BY project_id, agent ORDER BY started_at, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) END AS nxt FROM s) SELECT id, CASE WHEN kind = 'stable' AND ended_at IS NULL AND nxt IS NOT NULL AND heartbeat_at < nxt - INTERVAL 30 MINUTE THEN 'ABANDONED' WHEN ended_at IS NOT NULL THEN 'CLOSED' ELSE 'OPEN' END AS status FROM l")
 def session_status(spark, sf):
     return E.abandoned(load(spark, sf, "runtime_sessions").distinct().where("started_at is not null")).select("id", "status")
 
@@ -327,9 +362,9 @@ def learned_texts(spark, sf):
     return Y.new_texts(old, new).select("name", F.size("added").cast("long").alias("added"))
 
 
-@c.query("WITH s AS (SELECT trim(name) AS name, coalesce(root_path, '') AS command, row_number() OVER (ORDER BY id) AS position FROM projects) SELECT name, command, position, CASE WHEN name = '' THEN 'no name' WHEN command = '' THEN 'no command' WHEN position <> min(position) OVER (PARTITION BY lower(name)) THEN 'duplicate' END AS error FROM s")
+@c.query("WITH s AS (SELECT trim(name) AS name, coalesce(root_path, '') AS command, id AS position FROM projects) SELECT name, command, position, CASE WHEN name = '' THEN 'no name' WHEN command = '' THEN 'no command' WHEN position <> min(position) OVER (PARTITION BY lower(name)) THEN 'duplicate' END AS error FROM s")
 def settings_check(spark, sf):
-    p = load(spark, sf, "projects").select(F.trim("name").alias("name"), F.coalesce("root_path", F.lit("")).alias("command"), F.row_number().over(Window.orderBy("id")).cast("long").alias("position"))
+    p = load(spark, sf, "projects").select(F.trim("name").alias("name"), F.coalesce("root_path", F.lit("")).alias("command"), F.col("id").alias("position"))
     return Y.valid_settings(p)
 
 

@@ -30,7 +30,7 @@ def relations(spark: SparkSession, sf: str) -> DataFrame:
     return S.once(load(spark, sf, "relations"))
 
 
-def busiest_project(spark: SparkSession, sf: str) -> str:
+def first_project(spark: SparkSession, sf: str) -> str:
     return load(spark, sf, "projects").agg(F.min("id")).first()[0]
 
 
@@ -100,41 +100,50 @@ def path_facts(spark, sf):
     return paths.select("path", X.normal_path(p).alias("normal"), F.size(F.split(p, "/")).cast("long").alias("parts"), F.substring(F.md5(p), 1, 12).alias("short_hash"), F.substring(F.sha2(p, 256), 1, 16).alias("long_hash"))
 
 
-@c.query("""WITH m AS (SELECT doc_id, text, [x FOR x IN ['Cannot read properties of', 'is not a function', 'is not defined', 'ENOENT', 'ECONNREFUSED', 'Traceback (most recent call last)', 'MCP error -', 'Tool execution failed'] IF contains(substr(text, 1, 300), x)][1] AS hit FROM documents WHERE text IS NOT NULL)
- SELECT doc_id, CASE WHEN regexp_matches(text, '^\\s*Error:') THEN 'Error:' ELSE hit END AS marker FROM m WHERE hit IS NOT NULL OR regexp_matches(text, '^\\s*Error:')
- UNION ALL SELECT -1, 'documents ' || count(*) FROM m""")
+# a line of output that shows an error, for SQL: by how it starts, or by what its first 300 characters hold
+_LINES = "string_split(text, chr(10))"
+_MARKERS = "['Cannot read properties of', 'is not a function', 'is not defined', 'ENOENT', 'ECONNREFUSED', 'Traceback (most recent call last)', 'MCP error -', 'Tool execution failed']"
+_STARTS = r"regexp_matches({0}, '^\s*Error:')"
+
+
+@c.query(f"""WITH l AS (SELECT doc_id, unnest({_LINES}) AS value, generate_subscripts({_LINES}, 1) AS line FROM documents WHERE text IS NOT NULL), m AS (SELECT doc_id, line, value, list_filter({_MARKERS}, lambda m: contains(substr(value, 1, 300), m))[1] AS hit FROM l)
+ SELECT doc_id, CAST(line AS INT) AS line, CASE WHEN {_STARTS.format('value')} THEN 'Error:' ELSE hit END AS marker FROM m WHERE hit IS NOT NULL OR {_STARTS.format('value')}""")
 def error_markers(spark, sf):
-    d = load(spark, sf, "documents").where("text is not null").select("doc_id", X.error_marker(F.col("text")).alias("marker"))
-    return d.where("marker is not null").unionByName(d.agg(F.count("*").alias("n")).select(F.lit(-1).cast("long").alias("doc_id"), F.concat(F.lit("documents "), F.col("n").cast("string")).alias("marker")))
+    """Each line of a text is an output of its own."""
+    d = load(spark, sf, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "value"))
+    return d.select("doc_id", (F.col("line") + 1).alias("line"), X.error_marker(F.col("value")).alias("marker")).where("marker is not null")
 
 
-@c.query("""SELECT doc_id, substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(string_split(text, chr(10))[1], '[A-Za-z]:[\\\\/][^\\s''"]+', '<path>', 'g'), '/[^\\s''"]{4,}', '<path>', 'g'), '(?i)\\b[0-9a-f]{8,}\\b', '<hash>', 'g'), '\\b\\d+\\b', '<n>', 'g')), 1, 160) AS fingerprint FROM documents
- WHERE text IS NOT NULL AND NOT regexp_matches(text, 'Cannot read properties of|is not a function|is not defined|ENOENT|ECONNREFUSED|Traceback|MCP error -|Tool execution failed|Error:')""")
+@c.query(f"""WITH l AS (SELECT doc_id, coalesce(list_filter({_LINES}, lambda x: {_STARTS.format('x')} OR len(list_filter({_MARKERS}, lambda m: contains(substr(x, 1, 300), m))) > 0)[1], {_LINES}[1]) AS line FROM documents WHERE text IS NOT NULL)
+ SELECT doc_id, substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '[A-Za-z]:[\\\\/][^\\s''"]+', '<path>', 'g'), '/[^\\s''"]{{4,}}', '<path>', 'g'), '(?i)\\b[0-9a-f]{{8,}}\\b', '<hash>', 'g'), '\\b\\d+\\b', '<n>', 'g')), 1, 160) AS fingerprint FROM l""")
 def error_fingerprints(spark, sf):
     d = load(spark, sf, "documents").where("text is not null")
     return d.select("doc_id", X.error_fingerprint(F.col("text")).alias("fingerprint"))
 
 
-_MSG = "substr(text, 1, 2048)"
-for _p, _to in X.MESSAGE_RULES:
-    _MSG = "regexp_replace({}, '{}', '{}', 'g')".format(_MSG, _p.replace("\\n", "\n").replace("'", "''"), _to)
+_WS = r"[\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
 
-@c.query(f"SELECT doc_id, trim({_MSG}) AS message FROM documents WHERE text IS NOT NULL AND kind = 'tool_trace'")
+@c.query(r"""WITH a AS (SELECT doc_id, regexp_replace(substr(text, 1, 2048), '-----BEGIN(?s:.*?)(?:-----END[^\n]*|\z)', '<secret>', 'g') AS t FROM documents WHERE text IS NOT NULL),
+ b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?i)\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis)://\S+', '<url>', 'g'), '(?i)\b(?:password|token|secret|authorization|cookie|credential|api[_-]?key)\s*[:=]\s*[^\s,;]+', '<secret>', 'g') AS t FROM a),
+ c AS (SELECT doc_id, regexp_replace(t, '\x27[^\x27"`\n]*\x27|"[^\x27"`\n]*"|`[^\x27"`\n]*`', '<quoted>', 'g') AS t FROM b),
+ d AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?i)\b[a-f0-9]{8}-(?:[a-f0-9]{4}-){3}[a-f0-9]{12}\b', '<uuid>', 'g'), '\b\d{4}-\d{2}-\d{2}(?:T[\d:.+-]+Z?)?', '<date>', 'g') AS t FROM c),
+ e AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?:[A-Za-z]:[\\/]|/(?:home|Users|tmp|var)/)[^\s,)]+', '<path>', 'g'), '\b[a-zA-Z0-9_+/=-]{24,}\b', '<opaque>', 'g') AS t FROM d)
+ SELECT doc_id, trim(regexp_replace(regexp_replace(t, '\b\d+(?:\.\d+)?\b', '<number>', 'g'), 'WS+', ' ', 'g')) AS message FROM e""".replace("WS", _WS))
 def normal_messages(spark, sf):
-    return load(spark, sf, "documents").where("text is not null and kind = 'tool_trace'").select("doc_id", X.normal_message(F.col("text")).alias("message"))
+    return load(spark, sf, "documents").where("text is not null").select("doc_id", X.normal_message(F.col("text")).alias("message"))
 
 
 @c.query("""WITH h AS (SELECT doc_id, text, substr(text, 1, 1500) AS head FROM documents WHERE text IS NOT NULL), b AS (SELECT *, CASE WHEN instr(reverse(head), chr(10)) > 0 THEN 1500 - instr(reverse(head), chr(10)) ELSE 0 END AS cut FROM h)
- SELECT doc_id, CASE WHEN length(text) <= 1500 THEN text WHEN cut > 1200 THEN substr(head, 1, cut) ELSE head END AS shown FROM b WHERE NOT regexp_matches(text, '[\\x{300}-\\x{36f}\\x{1F000}-\\x{1FFFF}\\x{200d}\\x{fe0f}]')""")
+ SELECT doc_id, CASE WHEN length(text) <= 1500 THEN text WHEN cut > 1200 THEN substr(head, 1, cut) ELSE head END AS shown FROM b""")
 def capped_texts(spark, sf):
     d = load(spark, sf, "documents").where("text is not null")
     return d.select("doc_id", X.capped_output(F.col("text"), 1500).alias("shown"))
 
 
-@c.query("""WITH t AS (SELECT doc_id, trim(text) AS t, lower(text) AS low, len(string_split_regex(trim(text), '\\s+')) AS n FROM documents WHERE text IS NOT NULL)
+@c.query("""WITH t AS (SELECT doc_id, regexp_replace(text, '^WS+|WS+$', '', 'g') AS t, lower(text) AS low FROM documents WHERE text IS NOT NULL), u AS (SELECT *, len(string_split_regex(t, 'WS+')) AS n FROM t)
  SELECT doc_id, CASE WHEN t = '' THEN 'empty' WHEN n > 30 THEN 'long' WHEN regexp_matches(t, '\\b(?:[a-z]+(?:[A-Z][a-z]*)+|[A-Z][a-z]+(?:[A-Z][a-z]*)+|[a-z]+(?:_[a-z]+)+)\\b') OR regexp_matches(t, '\\b[\\w\\-./\\\\]+\\.(?:m?[jt]sx?|py|java|go|rs|rb|php|cs|kt|swift|sql|sh|md|json|ya?ml|toml|html|css|xml)\\b') OR regexp_matches(t, '\\b[\\w\\-]+[/\\\\][\\w\\-./\\\\]+') THEN 'code token'
- WHEN regexp_matches(low, '\\b(?:CODE)\\b') THEN 'code word' WHEN regexp_matches(low, '\\b(?:KNOW)\\b') THEN 'knowledge word' WHEN n <= 8 THEN 'short' ELSE 'medium' END AS gate FROM t WHERE NOT regexp_matches(t, '[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{1c}-\\x{1f}\\v]')""".replace("CODE", "|".join(V.CODE_WORDS)).replace("KNOW", "|".join(V.KNOWLEDGE_WORDS)))
+ WHEN regexp_matches(low, '\\b(?:CODE)\\b') THEN 'code word' WHEN regexp_matches(low, '\\b(?:KNOW)\\b') THEN 'knowledge word' WHEN n <= 8 THEN 'short' ELSE 'medium' END AS gate FROM u""".replace("WS", _WS).replace("CODE", "|".join(V.CODE_WORDS)).replace("KNOW", "|".join(V.KNOWLEDGE_WORDS)))
 def recall_gates(spark, sf):
     d = load(spark, sf, "documents").where("text is not null")
     return d.select("doc_id", X.recall_gate(F.col("text")).alias("gate"))
@@ -148,12 +157,12 @@ def json_props(spark, sf):
 
 @c.query(f"WITH {ENT}, p AS (SELECT min(id) AS pid FROM projects) SELECT id, name, entity_type, lifecycle FROM ent, p WHERE project_id = pid AND lifecycle = 'active'")
 def scope_list(spark, sf):
-    return S.visible(entities(spark, sf), busiest_project(spark, sf)).select("id", "name", "entity_type", "lifecycle")
+    return S.visible(entities(spark, sf), first_project(spark, sf)).select("id", "name", "entity_type", "lifecycle")
 
 
 @c.query(f"WITH {ENT}, p AS (SELECT min(id) AS pid FROM projects) SELECT id, name, project_id, lifecycle FROM ent, p WHERE (project_id = pid OR project_id IS NULL) AND lifecycle IN ('active', 'candidate')")
 def scope_with_global(spark, sf):
-    return S.visible(entities(spark, sf), busiest_project(spark, sf), True, ("active", "candidate")).select("id", "name", "project_id", "lifecycle")
+    return S.visible(entities(spark, sf), first_project(spark, sf), True, ("active", "candidate")).select("id", "name", "project_id", "lifecycle")
 
 
 @c.query(f"WITH {ENT} SELECT id, name FROM ent WHERE project_id IS NULL AND lifecycle = 'active'")
@@ -196,7 +205,7 @@ def _sides(spark, sf):
     return left, right
 
 
-_SIDES = f"""{ENT}, {OBS}, o2 AS (SELECT entity_id, list(text ORDER BY seq)[1:2] AS observations FROM obs GROUP BY 1),
+_SIDES = f"""{ENT}, {OBS}, o2 AS (SELECT entity_id, list(text ORDER BY seq) AS observations FROM obs GROUP BY 1),
  e2 AS (SELECT e.*, coalesce(o.observations, []) AS observations, ('0x' || substr(e.id, 1, 2))::INT AS k FROM ent e LEFT JOIN o2 o ON o.entity_id = e.id),
  one AS (SELECT * FROM e2 QUALIFY row_number() OVER (PARTITION BY project_id, name ORDER BY id DESC) = 1),
  lhs AS (SELECT project_id, name, entity_type, lifecycle, observations FROM one WHERE k % 3 <> 0),
@@ -234,15 +243,22 @@ def delete_cascade(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@c.query(f"WITH {ENT} SELECT id, CASE WHEN entity_type = 'tech-config' AND lifecycle IN ('active', 'candidate') THEN 'archived' ELSE lifecycle END AS lifecycle FROM ent")
+_GONE = "g AS (SELECT id FROM ent WHERE entity_type = 'tech-config' AND lifecycle IN ('active', 'candidate'))"
+_LEFT = "CASE WHEN {0} AND lifecycle IN ('active', 'candidate') THEN 'archived' ELSE lifecycle END AS lifecycle"
+
+
+@c.query(f"""WITH {ENT}, {OBS}, {REL}, {_GONE} SELECT 'entity' AS t, id, {_LEFT.format("entity_type = 'tech-config'")} FROM ent
+ UNION ALL SELECT 'observation', id, {_LEFT.format('entity_id IN (SELECT id FROM g)')} FROM obs UNION ALL SELECT 'relation', id, {_LEFT.format('(from_entity_id IN (SELECT id FROM g) OR to_entity_id IN (SELECT id FROM g))')} FROM rel""")
 def archive_entities(spark, sf):
-    return S.archive(entities(spark, sf), F.col("entity_type") == "tech-config").select("id", "lifecycle")
+    kept = S.archive_cascade(entities(spark, sf), observations(spark, sf), relations(spark, sf), F.col("entity_type") == "tech-config")
+    parts = [t.select(F.lit(n).alias("t"), "id", "lifecycle") for n, t in zip(("entity", "observation", "relation"), kept)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @c.query(f"WITH {ENT}, {OBS}, o AS (SELECT entity_id, unnest(list(text ORDER BY seq)) AS text FROM obs GROUP BY 1) SELECT e.id, contains(o.text, 'cache') OR contains(o.text, 'lease') AS archived, count(*) AS n FROM ent e JOIN o ON e.id = o.entity_id GROUP BY ALL")
 def archive_observations(spark, sf):
-    e = S.with_observations(entities(spark, sf), observations(spark, sf))
-    return e.select("id", F.explode(S.archive_texts(F.col("observations"), ["cache", "lease"])).alias("o")).groupBy("id", F.col("o.archived").alias("archived")).agg(F.count("*").alias("n"))
+    texts = observations(spark, sf).where("entity_id is not null").select(F.col("entity_id").alias("id"), F.explode(S.archive_texts(F.array("text"), ["cache", "lease"])).alias("o"))
+    return texts.join(entities(spark, sf).select("id"), "id", "left_semi").groupBy("id", F.col("o.archived").alias("archived")).agg(F.count("*").alias("n"))
 
 
 @c.query(f"""WITH {ENT}, q AS (SELECT id, ['active', 'archived', 'rejected', 'candidate'][1 + ('0x' || substr(id, 1, 1))::INT % 4] AS "to" FROM ent UNION ALL SELECT 'nobody', 'active')
@@ -256,7 +272,9 @@ def lifecycle_moves(spark, sf):
 
 @c.query(f"WITH {OBS}, h AS (SELECT entity_id, list(text ORDER BY seq) AS all_ FROM obs WHERE entity_id IS NOT NULL GROUP BY 1) SELECT entity_id, len(list_append(all_, 'last')[-50:]) AS kept, list_append(all_, 'last')[-50:][1] AS oldest FROM h")
 def history_append(spark, sf):
-    h = observations(spark, sf).where("entity_id is not null").groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]).alias("all"))
+    # only the newest fifty of an entity are moved and gathered
+    o = S.keep_newest(observations(spark, sf).where("entity_id is not null").select("entity_id", "seq", "text"), [F.col("seq").desc(), F.col("text").desc()], 50, ["entity_id"])
+    h = o.groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]).alias("all"))
     grown = h.select("entity_id", S.append_history(F.col("all"), F.lit("last")).alias("h"))
     return grown.select("entity_id", F.size("h").alias("kept"), F.col("h")[0].alias("oldest"))
 
@@ -266,8 +284,8 @@ def review_queue(spark, sf):
     return entities(spark, sf).where("lifecycle = 'candidate'").select("id", "name", "project_id")
 
 
-@c.query(f"""WITH {ENT}, {OBS}, l AS (SELECT 1 AS x FROM (SELECT DISTINCT name FROM ent)), b AS (SELECT id FROM ent WHERE substr(id, 1, 1) = '0')
- SELECT (SELECT count(*) FROM l) + (SELECT count(*) FROM b) AS lines, (SELECT count(*) FROM b) AS bad_lines, (SELECT count(*) FROM l) AS entities, 0::BIGINT AS relations, (SELECT sum(len(o)) FROM (SELECT list(text ORDER BY seq)[1:2] AS o, e.name FROM ent e JOIN obs ON obs.entity_id = e.id WHERE e.id IN (SELECT max(id) FROM ent GROUP BY name) GROUP BY e.id, e.name))::BIGINT AS observations""")
+@c.query(f"""WITH {ENT}, {OBS}, {REL}, l AS (SELECT 1 AS x FROM (SELECT DISTINCT name FROM ent)), b AS (SELECT id FROM ent WHERE substr(id, 1, 1) = '0')
+ SELECT (SELECT count(*) FROM l) + (SELECT count(*) FROM b) + (SELECT count(*) FROM rel) AS lines, (SELECT count(*) FROM b) AS bad_lines, (SELECT count(*) FROM l) AS entities, (SELECT count(*) FROM rel) AS relations, (SELECT sum(len(o)) FROM (SELECT list(text ORDER BY seq) AS o, e.name FROM ent e JOIN obs ON obs.entity_id = e.id WHERE e.id IN (SELECT max(id) FROM ent GROUP BY name) GROUP BY e.id, e.name))::BIGINT AS observations""")
 def jsonl_scan(spark, sf):
     e = S.with_observations(entities(spark, sf), observations(spark, sf))
     one = S.latest(e, ["name"], [F.col("id")])
@@ -275,19 +293,40 @@ def jsonl_scan(spark, sf):
     return L.line_counts(L.parsed_lines(lines))
 
 
-@c.query(f"WITH {ENT} SELECT count(*) AS files, true AS same FROM ent")
+_PARTS = ", ".join(f"sum(('0x' || substr(h, {8 * i + 1}, 8))::BIGINT) AS p{i}" for i in range(8))
+
+
+@c.query(f"""WITH {ENT}, r AS (SELECT sha256(id || '|' || sha256(name)) AS h FROM ent), p AS (SELECT count(*) AS files, {_PARTS} FROM r) SELECT files, sha256(concat_ws('|', files, {', '.join(f'p{i}' for i in range(8))})) AS digest FROM p""")
 def manifest_digest(spark, sf):
-    m = entities(spark, sf).select(F.col("id").alias("path"), F.sha2("name", 256).alias("hash"))
-    a, b = L.digest(m), L.digest(m.repartition(7)).withColumnRenamed("digest", "d2").drop("files")
-    return a.crossJoin(b).select("files", (F.col("digest") == F.col("d2")).alias("same"))
+    return L.digest(entities(spark, sf).select(F.col("id").alias("path"), F.sha2("name", 256).alias("hash")))
 
 
-@c.query(f"WITH {ENT}, {OBS}, o AS (SELECT entity_id, list(text ORDER BY seq) AS o FROM obs WHERE lifecycle = 'active' GROUP BY 1) SELECT e.id, len(coalesce(o.o, [])) AS observations, e.name FROM ent e LEFT JOIN o ON o.entity_id = e.id WHERE e.project_id = (SELECT min(id) FROM projects)")
+@c.query(f"WITH {ENT}, {OBS}, o AS (SELECT entity_id, list(text ORDER BY seq, text) AS o FROM obs GROUP BY 1) SELECT e.id, e.project_id, e.name, e.entity_type, e.lifecycle, coalesce(o.o, []) AS observations FROM ent e LEFT JOIN o ON o.entity_id = e.id")
 def knowledge_export(spark, sf):
-    e = S.with_observations(entities(spark, sf).where(F.col("project_id") == busiest_project(spark, sf)), observations(spark, sf).where("lifecycle = 'active'"))
-    doc = F.to_json(F.struct("id", "name", "entity_type", "lifecycle", "observations"))
-    back = F.from_json(doc, "struct<id:string,name:string,observations:array<string>>")
-    return e.select(back.alias("b")).select("b.id", F.size("b.observations").alias("observations"), "b.name")
+    """All projects and lifecycles, out to versioned JSON and read back."""
+    e = S.with_observations(entities(spark, sf), observations(spark, sf))
+    doc = F.to_json(F.struct(F.lit(1).alias("version"), "id", "project_id", "name", "entity_type", "lifecycle", "observations"))
+    back = F.from_json(doc, "struct<id:string,project_id:string,name:string,entity_type:string,lifecycle:string,observations:array<string>>")
+    return e.select(back.alias("b")).select("b.*")
+
+
+@c.query(f"WITH {ENT} SELECT id, name FROM ent WHERE project_id IS NULL AND lifecycle = 'active' AND name LIKE 'TECH:%'")
+def unresolved_scope(spark, sf):
+    """An unresolved project adds nothing, global rows asked for or not; no project means the global ones."""
+    e = entities(spark, sf)
+    none = S.visible(e, S.UNRESOLVED, True).unionByName(S.visible(e, S.UNRESOLVED))
+    return none.unionByName(S.visible(e, None).where("name like 'TECH:%'")).select("id", "name")
+
+
+@c.query(f"WITH {ENT}, p AS (SELECT min(id) AS pid FROM projects), w AS (SELECT DISTINCT name AS wanted FROM ent) SELECT w.wanted, e.id, e.entity_type, e.lifecycle FROM w LEFT JOIN ent e ON e.name = w.wanted AND e.project_id = (SELECT pid FROM p)")
+def point_lookup(spark, sf):
+    e = entities(spark, sf)
+    return S.pick(e, first_project(spark, sf), e.select(F.col("name").alias("wanted")).distinct())
+
+
+@c.query(f"WITH {ENT} SELECT id, name, entity_type FROM ent WHERE lower(entity_type) IN ('tech-stack', 'biz-rule')")
+def names_and_types(spark, sf):
+    return S.among(entities(spark, sf), types=["TECH-Stack", "biz-RULE"]).select("id", "name", "entity_type")
 
 
 QUERIES, SQL = c.QUERIES, c.SQL

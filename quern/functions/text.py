@@ -144,6 +144,13 @@ def scope_segment(name: Column) -> Column:
     return F.when(F.length(s) >= 3, s)
 
 
+def scope_key(name: Column) -> Column:
+    """The first segment after the prefix that is no mere modifier, squeezed; null without one."""
+    parts = F.filter(F.transform(F.split(name, ":"), lambda p: F.trim(p)), lambda p: p != "")
+    rest = F.filter(F.transform(F.slice(parts, 2, 1 << 20), lambda p: squeezed(p)), lambda p: ~p.isin(V.MODIFIERS))
+    return F.try_element_at(rest, F.lit(1))
+
+
 def squeezed(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[\s\-_]", "")
 
@@ -235,6 +242,7 @@ def error_fingerprint(text: Column) -> Column:
 
 # What a message's private or varying parts are replaced by, in this order.
 MESSAGE_RULES = [
+    (r"-----BEGIN[\s\S]*?(?:-----END[^\n]*|\z)", "<secret>"),
     (r"(?i)\b(?:https?|postgres(?:ql)?|mysql|mongodb|redis)://\S+", "<url>"),
     (r"(?i)\b(?:password|token|secret|authorization|cookie|credential|api[_-]?key)\s*[:=]\s*[^\s,;]+", "<secret>"),
     (r"'[^'\"`\n]*'|\"[^'\"`\n]*\"|`[^'\"`\n]*`", "<quoted>"),
@@ -243,7 +251,7 @@ MESSAGE_RULES = [
     (r"(?:[A-Za-z]:[\\/]|/(?:home|Users|tmp|var)/)[^\s,)]+", "<path>"),
     (r"\b[a-zA-Z0-9_+/=-]{24,}\b", "<opaque>"),
     (r"\b\d+(?:\.\d+)?\b", "<number>"),
-    (r"\s+", " "),
+    (BLANK + "+", " "),
 ]
 
 

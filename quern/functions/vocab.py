@@ -29,6 +29,8 @@ TYPE_PAIRS = (
     "pattern-code|tech-stack pattern-arch|tech-stack pattern-arch|pattern-integration pattern-integration|tech-stack tech-decision|tech-stack pattern-arch|tech-decision tech-config|tech-stack "
     "biz-domain|tech-stack biz-domain|pattern-arch"
 ).split()
+# Segments of names that say nothing about their scope.
+MODIFIERS = ["arch", "code", "int", "integration", "decision", "person", "config", "stack", "biz", "tech", "rule", "flow", "entity", "incident", "gotcha"]
 # Allowed moves between lifecycles and between states of a fault.
 LIFECYCLE_MOVES = {"candidate": "active rejected archived", "active": "archived", "archived": "active", "rejected": "candidate"}
 FAULT_MOVES = {
@@ -57,6 +59,8 @@ QUALITY_STOP = (
 SKILL_NOISE = "help me please want need how to do i a the".split()
 # Texts near the start of a tool's output that mark a failed call.
 ERROR_MARKERS = ["Cannot read properties of", "is not a function", "is not defined", "ENOENT", "ECONNREFUSED", "Traceback (most recent call last)", "MCP error -", "Tool execution failed"]
+# Tools that the small profile offers.
+CORE_TOOLS = ["query", "context", "impact", "detect_changes", "index", "semantic_search", "search_nodes", "open_nodes", "create_entities", "add_observations", "create_relations", "unified_search", "session_start", "health"]
 # What is let through when metadata of a fault is stored.
 FAULT_COMPONENTS = "runtime search storage model setup hook mcp cli scan diagnostics code-index bridge".split()
 FAULT_PHASES = "startup import open initialize ready request background shutdown rollback".split()

@@ -60,9 +60,9 @@ def enclosing(points: DataFrame, symbols: DataFrame) -> DataFrame:
     The join is by file, so a partition holds the symbols of its files only.
     """
     s = symbols.select("path", F.col("id").alias("_id"), F.col("line").alias("_a"), F.col("line_end").alias("_b"))
-    keyed = points.withColumn("_row", F.monotonically_increasing_id())
-    hits = keyed.join(s, "path").where((F.col("_a") <= F.col("line")) & (F.col("_b") >= F.col("line"))).groupBy("_row").agg(F.min_by("_id", F.struct(F.col("_b") - F.col("_a"), "_id")).alias("_in"))
-    return keyed.join(hits, "_row", "left").withColumn("inside", F.coalesce("_in", "path")).drop("_row", "_in")
+    at = points.select("path", "line").distinct()
+    hits = at.join(s, "path").where((F.col("_a") <= F.col("line")) & (F.col("_b") >= F.col("line"))).groupBy("path", "line").agg(F.min_by("_id", F.struct(F.col("_b") - F.col("_a"), "_id")).alias("_in"))
+    return points.join(hits, ["path", "line"], "left").select(*[points[c] for c in points.columns], F.coalesce("_in", points["path"]).alias("inside"))
 
 
 def touched(symbols: DataFrame, changes: DataFrame) -> DataFrame:
@@ -105,9 +105,10 @@ def import_targets(refs: DataFrame, imports: DataFrame, symbols: DataFrame) -> D
 
 
 def cascade(framework: DataFrame, imported: DataFrame, named: DataFrame) -> DataFrame:
-    """`ref_id, target, confidence, resolved_by`: the most confident of the three strategies (`ref_id, target, confidence`), the earlier one if equal."""
+    """`ref_id, target, confidence, resolved_by`: the first of the three strategies (`ref_id, target, confidence`) that is sure (0.9 or more), else the most confident, the earlier one if equal."""
+    sure = F.col("confidence") >= 0.9
     parts = [df.select("ref_id", "target", "confidence", F.lit(i).alias("_s")) for i, df in enumerate((framework, imported, named))]
-    best = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("ref_id").agg(F.max_by(F.struct("target", "confidence", "_s"), F.struct("confidence", -F.col("_s"))).alias("b"))
+    best = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("ref_id").agg(F.max_by(F.struct("target", "confidence", "_s"), F.struct(sure, F.when(~sure, F.col("confidence")).otherwise(0.0), -F.col("_s"))).alias("b"))
     return best.select("ref_id", "b.target", "b.confidence", F.element_at(F.array(*map(F.lit, ("framework", "import", "name"))), F.col("b._s") + 1).alias("resolved_by"))
 
 
@@ -137,40 +138,73 @@ def trusted_member_call(receiver: Column, method: Column, target: Column, path:
     return ~root.isin(BUILTIN_RECEIVERS) & (~method.isin(GENERIC_MEMBERS) | (file == path) | mine | own)
 
 
-def framework_bound(path: Column, name: Column, parent: Column) -> Column:
-    """Whether a framework calls a method by convention, so that having no callers says nothing."""
-    folder = path.rlike(r"(?i)(^|/)(middlewares?|commands?|jobs?|handlers?|listeners?|tasks?|observers?|events?|hooks?|subscribers?)/")
-    usual = name.isin("handle", "run", "execute", "invoke", "process", "perform", "boot", "register", "up", "down", "created", "updated")
-    return (folder & usual) | F.coalesce(F.endswith(parent, F.lit("Controller")), F.lit(False)) | path.rlike(r"(?i)(^|/)controllers/")
+# Folders whose files a framework calls into, and the methods it calls there.
+BOUND_FOLDERS = r"(?i)/(middleware|commands?|jobs?|handlers?|listeners?|tasks?|observers?|events?|hooks?|subscribers?)/"
+BOUND_METHODS = ["handle", "run", "execute", "process", "dispatch", "invoke", "perform", "fire", "trigger", "exec", "call", "__invoke"]
+
+
+def framework_bound(path: Column, name: Column, parent: Column, kind: Column) -> Column:
+    """Whether a framework calls a symbol by convention, so that having no callers says nothing: usual names in its folders, and methods of controllers."""
+    controller = (kind == "method") & (F.coalesce(F.endswith(parent, F.lit("Controller")), F.lit(False)) | path.rlike(r"(?i)/controllers?/"))
+    return (path.rlike(BOUND_FOLDERS) & name.isin(BOUND_METHODS)) | controller
 
 
 def is_public(exported: Column, bound: Column, kind: Column, parent: Column) -> Column:
     return exported | bound | ((kind == "method") & parent.isNotNull())
 
 
-# What each framework's source shows: framework, pattern, group of the target's name, group of its owner (0: none), kind and confidence.
+# What each framework's source shows: framework, pattern, how its groups name the target, kind and confidence of the edge,
+# kinds of symbols that can be the target (any if empty), and whether the edge starts at the file or at the symbol around the line.
+# Names: 'name' the group; 'last' its part behind the last dot; 'first' its part before the first dot; 'member' owner and name; 'action' a controller's base
+# name and its method; 'controller' the base name of a controller; 'tag' in Pascal case, else as it is; 'view' the file of a view; 'here' a name in the same file.
 FRAMEWORKS = [
-    ("express", r"\b(?:app|router)\.(?:get|post|put|patch|delete|all|use)\s*\(\s*['\"][^'\"]+['\"]\s*,\s*([A-Za-z_$][\w$]*)\s*\)", 1, 0, "CALLS", 0.85),
-    ("laravel", r"\[\s*([A-Z][a-zA-Z]+Controller)\s*::\s*class\s*,\s*['\"](\w+)['\"]\s*\]", 2, 1, "CALLS", 0.88),
-    ("laravel", r"\b([A-Z][a-zA-Z]+)::(\w+)\s*\(", 2, 1, "CALLS", 0.85),
-    ("laravel", r"\broute\s*\(\s*['\"]([\w.-]+)['\"]", 1, 0, "CALLS", 0.65),
-    ("laravel", r"\bview\s*\(\s*['\"]([\w.-]+)['\"]", 1, 0, "RENDERS", 0.85),
-    ("nestjs", r"@Inject\s*\(\s*([A-Z_][\w_]*)\s*\)", 1, 0, "CALLS", 0.88),
-    ("react", r"<([A-Z][A-Za-z0-9_]*)\b", 1, 0, "RENDERS", 0.92),
-    ("react", r"\b(use[A-Z][A-Za-z0-9_]*)\s*\(", 1, 0, "CALLS", 0.88),
-    ("vue", r"<([A-Z][A-Za-z0-9_]*|[a-z]+(?:-[a-z]+)+)\b", 1, 0, "RENDERS", 0.9),
-    ("vue", r"\b(use[A-Z][A-Za-z0-9_]*)\s*\(", 1, 0, "CALLS", 0.85),
-    ("django", r"\b(?:path|re_path)\s*\(\s*[r]?['\"][^'\"]+['\"]\s*,\s*([A-Za-z_][\w.]*)\b", 1, 0, "CALLS", 0.88),
-    ("django", r"@(?:app|bp|blueprint)\.route\s*\([^)]*\)[^\n]*\n(?:[^\n]*\n)?\s*def\s+([a-zA-Z_]\w*)", 1, 0, "CALLS", 0.9),
-    ("django", r"@(?:app|router)\.(?:get|post|put|patch|delete|options|head)\s*\([^)]*\)[^\n]*\n(?:[^\n]*\n)?\s*(?:async\s+)?def\s+([a-zA-Z_]\w*)", 1, 0, "CALLS", 0.9),
-    ("rails", r"\b(?:get|post|put|patch|delete)\s+['\"][^'\"]+['\"]\s*=>\s*['\"](\w+)#(\w+)['\"]", 2, 1, "CALLS", 0.88),
-    ("rails", r"\b(?:before_action|after_action|around_action)\s*:(\w+)", 1, 0, "CALLS", 0.8),
-    ("rails", r"\bresources?\s+:(\w+)", 1, 0, "CALLS", 0.85),
-    ("rails", r"\b([A-Z][a-zA-Z]+)\.find_by_(\w+)", 1, 0, "CALLS", 0.7),
-    ("svelte", r"<([A-Z][A-Za-z0-9_]*)\b", 1, 0, "RENDERS", 0.9),
-    ("svelte", r"\{[^}]*?\b([a-zA-Z_$][\w$]*)\s*\(", 1, 0, "CALLS", 0.85),
-    ("shopify", r"\{%[-]?\s*(?:render|include|section)\s+['\"]([\w\-./]+)['\"]", 1, 0, "RENDERS", 0.92),
+    ("express", r"\b(?:app|router)\.(?:get|post|put|patch|delete|all|use)\s*\(\s*['\"][^'\"]+['\"]\s*,\s*([A-Za-z_$][\w$]*)\s*\)", "name", "CALLS", 0.85, "function method", "symbol"),
+    ("laravel", r"\[\s*([A-Z][a-zA-Z]+Controller)\s*::\s*class\s*,\s*['\"](\w+)['\"]\s*\]", "member", "CALLS", 0.88, "", "file"),
+    ("laravel", r"\b([A-Z][a-zA-Z]+)::(\w+)\s*\(", "member", "CALLS", 0.85, "", "file"),
+    ("laravel", r"\broute\s*\(\s*['\"]([\w.-]+)['\"]", "last", "CALLS", 0.65, "method function", "file"),
+    ("laravel", r"\bview\s*\(\s*['\"]([\w.-]+)['\"]", "view", "RENDERS", 0.85, "component", "file"),
+    ("nestjs", r"@Inject\s*\(\s*([A-Z_][\w_]*)\s*\)", "name", "CALLS", 0.88, "", "symbol"),
+    ("react", r"<([A-Z][A-Za-z0-9_]*)\b", "name", "RENDERS", 0.92, "function class component", "symbol"),
+    ("react", r"\b(use[A-Z][A-Za-z0-9_]*)\s*\(", "name", "CALLS", 0.88, "function method", "symbol"),
+    ("vue", r"<([A-Z][A-Za-z0-9_]*|[a-z]+(?:-[a-z]+)+)\b", "tag", "RENDERS", 0.9, "component function", "symbol"),
+    ("vue", r"\b(use[A-Z][A-Za-z0-9_]*)\s*\(", "name", "CALLS", 0.85, "function method", "symbol"),
+    ("django", r"\b(?:path|re_path)\s*\(\s*[r]?['\"][^'\"]+['\"]\s*,\s*([A-Za-z_][\w.]*)\b", "last", "CALLS", 0.88, "function class method", "file"),
+    ("django", r"@(?:app|bp|blueprint)\.route\s*\([^)]*\)[^\n]*\n(?:[^\n]*\n)?\s*def\s+([a-zA-Z_]\w*)", "here", "CALLS", 0.9, "function", "file"),
+    ("django", r"@(?:app|router)\.(?:get|post|put|patch|delete|options|head)\s*\([^)]*\)[^\n]*\n(?:[^\n]*\n)?\s*(?:async\s+)?def\s+([a-zA-Z_]\w*)", "here", "CALLS", 0.9, "function", "file"),
+    ("rails", r"\b(?:get|post|put|patch|delete)\s+['\"][^'\"]+['\"]\s*=>\s*['\"](\w+)#(\w+)['\"]", "action", "CALLS", 0.88, "", "file"),
+    ("rails", r"\b(?:before_action|after_action|around_action)\s*:(\w+)", "name", "CALLS", 0.8, "method function", "symbol"),
+    ("rails", r"\bresources?\s+:(\w+)", "controller", "CALLS", 0.85, "class", "file"),
+    ("rails", r"\b([A-Z][a-zA-Z]+)\.find_by_(\w+)", "name", "CALLS", 0.7, "class", "symbol"),
+    ("svelte", r"<([A-Z][A-Za-z0-9_]*)\b", "name", "RENDERS", 0.9, "component function", "symbol"),
+    ("svelte", r"\{[^}]*?\b([a-zA-Z_$][\w$]*)\s*\(", "name", "CALLS", 0.85, "function method", "symbol"),
+    ("shopify", r"\{%[-]?\s*(?:render|include|section)\s+['\"]([\w\-./]+)['\"]", "first", "RENDERS", 0.92, "", "symbol"),
 ]
+# Classes of the framework itself, and words that only look like calls.
+FACADES = ["Auth", "Cache", "DB", "Log", "Mail", "Queue", "Session", "Storage", "Validator", "Hash", "Crypt", "Config", "Route", "Schema", "Artisan", "Bus", "Event", "Notification"]
+NO_CALLS = ["if", "each", "await", "then", "catch", "snippet", "$state", "$derived", "$effect", "$props", "$bindable", "$inspect", "$host"]
+_ADDED: list[tuple] = []
+
+
+def register_framework(name: str, pattern: str, names: str = "name", kind: str = "CALLS", confidence: float = 0.85, kinds: str = "", start: str = "symbol") -> None:
+    """Adds a rule of one's own to those of FRAMEWORKS, in the same form."""
+    re.compile(pattern)
+    _ADDED.append((name, pattern, names, kind, confidence, kinds, start))
+
+
+def _capital(name: str) -> str:
+    return name[:1].upper() + name[1:]
+
+
+def _target(form: str, m: re.Match) -> tuple[str | None, str | None, str | None]:
+    """Name, owner and second choice (another name, or a file) of what a match points to."""
+    a = m.group(1)
+    if form in ("member", "action"):
+        return m.group(2), a if form == "member" else _capital(a) + "Controller", None
+    if form == "tag":
+        return "".join(map(_capital, a.split("-"))), None, a if "-" in a else None
+    if form == "view":
+        return None, None, f"resources/views/{a.replace('.', '/')}.blade.php"
+    return {"last": a.rsplit(".", 1)[-1], "first": a.split(".", 1)[0], "controller": _capital(a) + "Controller"}.get(form, a), None, None
 
 
 def _batches(files: DataFrame, rows_of) -> DataFrame:
@@ -194,28 +228,51 @@ def _row(path, part, kind, name, parent=None, target=None, line=None, line_end=N
 
 
 def framework_matches(files: DataFrame, frameworks: list[str]) -> DataFrame:
-    """What the frameworks' patterns find: `path, kind, name` (of the target), `parent, line, confidence, source`, once for each name and line of a file."""
-    rules = [(f, re.compile(p), g, o, k, c) for f, p, g, o, k, c in FRAMEWORKS if f in frameworks]
+    """What the frameworks' patterns find: `path, kind, name` (of the target), `parent` (its owner), `target` (second choice), `line, confidence, source`, once for each name and line of a file and pattern.
+
+    `source` is the framework, the form of the name, the kinds of the target and the start of the edge, between bars.
+    """
+    rules = [(re.compile(r[1]), r[0], *r[2:]) for r in [*FRAMEWORKS, *_ADDED] if r[0] in frameworks]
 
     def scan(path, text, lang):
         rows, seen = [], set()
-        for source, pattern, group, owner, kind, confidence in rules:
+        for i, (pattern, source, form, kind, confidence, kinds, start) in enumerate(rules):
             for m in pattern.finditer(text):
-                line, name = text.count("\n", 0, m.start()) + 1, m.group(group)
-                if (source, name, line) not in seen:
-                    seen.add((source, name, line))
-                    rows.append(_row(path, "match", kind, name, m.group(owner) if owner else None, None, line, line, None, confidence, source))
+                name, owner, second = _target(form, m)
+                line = text.count("\n", 0, m.start()) + 1
+                if (source == "laravel" and owner in FACADES) or (source == "svelte" and name in NO_CALLS) or (i, name, owner, second, line) in seen:
+                    continue
+                seen.add((i, name, owner, second, line))
+                rows.append(_row(path, "match", kind, name, owner, second, line, line, None, confidence, "|".join((source, form, kinds, start))))
         return rows
 
     return _batches(files, scan)
 
 
 def framework_edges(matches: DataFrame, symbols: DataFrame) -> DataFrame:
-    """`src, dst, kind, line, confidence, resolved_by`: matches whose name (and owner) a symbol has, from the symbol around them."""
-    s = symbols.select(F.col("name").alias("name"), F.col("id").alias("dst"), F.col("parent").alias("_owner"))
-    j = matches.join(s, "name").where(F.col("parent").isNull() | F.col("_owner").eqNullSafe(F.col("parent")))
-    one = j.groupBy("path", "kind", "name", "line", "confidence", "source").agg(F.min("dst").alias("dst"))
-    return enclosing(one, symbols).select(F.col("inside").alias("src"), "dst", "kind", "line", "confidence", F.concat(F.lit("framework:"), F.col("source")).alias("resolved_by"))
+    """`src, dst, kind, line, confidence, resolved_by`: matches that a symbol (`id, name, path, kind, parent, line, line_end`) answers to, by name (and owner), else by the second choice.
+
+    An edge starts at the file, or at the symbol around the line, and never ends where it starts.
+    """
+    part = lambda n: F.split("source", r"\|")[n]
+    one = ["path", "kind", "line", "confidence", "source", "name", "parent", "target"]
+    m = matches.select(*one).distinct().withColumns({"_form": part(1), "_kinds": F.split(part(2), " "), "_start": part(3)})
+    m = m.withColumn("_k", F.when(F.col("_form") == "view", F.array(F.struct(F.lit(0).alias("o"), F.col("target").alias("k")))).otherwise(F.array_compact(F.array(F.struct(F.lit(0).alias("o"), F.col("name").alias("k")), F.when(F.col("target").isNotNull(), F.struct(F.lit(1).alias("o"), F.col("target").alias("k")))))))
+    m = m.select("*", F.explode("_k").alias("x")).select("*", F.col("x.o").alias("_o"), F.col("x.k").alias("_key")).drop("x", "_k")
+    s = symbols.select(F.explode(F.array("name", F.concat(F.lit("file:"), "path"))).alias("_key"), F.col("id").alias("dst"), F.col("parent").alias("_owner"), F.col("kind").alias("_kind"), F.col("path").alias("_file"))
+    j = m.withColumn("_key", F.when(F.col("_form") == "view", F.concat(F.lit("file:"), "_key")).otherwise(F.col("_key"))).join(s, "_key")
+    fits = (part(2) == "") | F.array_contains("_kinds", F.col("_kind"))
+    j = j.where((F.col("parent").isNull() | F.col("_owner").eqNullSafe(F.col("parent"))) & fits & ((F.col("_form") != "here") | (F.col("_file") == F.col("path"))))
+    # rows without owner or second choice are told apart by null-safe grouping
+    one = j.groupBy(*one, "_start").agg(F.min_by("dst", F.struct("_o", "dst")).alias("dst"))
+    around = symbols.where(F.col("kind").isin("function", "method", "class", "component"))
+    src = F.when(F.col("_start") == "file", F.col("path")).otherwise(F.col("inside"))
+    return enclosing(one, around).select(src.alias("src"), "dst", "kind", "line", "confidence", F.concat(F.lit("framework:"), part(0)).alias("resolved_by")).where("src <> dst").distinct()
+
+
+def framework_counts(edges: DataFrame) -> DataFrame:
+    """`framework, n`: edges by what resolved them."""
+    return edges.groupBy(F.substring("resolved_by", 11, 99).alias("framework")).agg(F.count("*").alias("n"))
 
 
 def _python(path: str, text: str) -> list[tuple]:
@@ -266,54 +323,167 @@ BY_LINE = {
         ("relation", "IMPLEMENTS", r"\bclass\s+(?P<n>\w+)[^{]*?\bimplements\s+(?P<t>\w+)"),
         ("relation", "CALLS", r"(?<!\w)(?!if\b|for\b|while\b|switch\b|catch\b|return\b|new\b)(?P<t>\w+)\s*\("),
     ],
-    "mybatis": [("symbol", "mybatis-statement", r"<(?:select|insert|update|delete|sql)\b[^>]*\bid\s*=\s*[\"'](?P<n>[^\"']+)[\"']"), ("relation", "CALLS", r"<include\s+refid\s*=\s*[\"'](?P<t>[^\"']+)[\"']")],
+    "mybatis": [("symbol", "mybatis-statement", r"<(?P<o>select|insert|update|delete|sql)\b[^>]*\bid\s*=\s*[\"'](?P<n>[^\"']+)[\"']"), ("relation", "CALLS", r"<include\s+refid\s*=\s*[\"'](?P<t>[^\"']+)[\"']")],
     "vue": [("symbol", "component", r"^\s*name\s*:\s*['\"](?P<n>[\w-]+)['\"]"), ("symbol", "method", r"^\s{2,}(?:async\s+)?(?!if\b|for\b|while\b|switch\b|catch\b)(?P<n>[a-zA-Z_$][\w$]*)\s*\([^)]*\)\s*\{")],
     "svelte": [("symbol", "method", r"^\s*(?P<x>export\s+)?(?:async\s+)?function\s+(?P<n>[A-Za-z_$][\w$]*)"), ("symbol", "variable", r"^\s*(?P<x>export)\s+let\s+(?P<n>[A-Za-z_$][\w$]*)")],
     "liquid": [("relation", "RENDERS", r"\{%[-]?\s*(?:render|include|section)\s+['\"](?P<t>[\w\-./]+)['\"]")],
 }
 
 
+_STRINGS = re.compile(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`")
+_OWNERS = ("class", "interface", "enum")
+
+
+def _closing(rows: list[list], text: str) -> None:
+    """Gives the symbols found in a source with braces their last line, and members their owner: the innermost class that is open where they stand."""
+    starts: dict[int, list[list]] = {}
+    for r in rows:
+        if r[1] == "symbol":
+            starts.setdefault(r[6], []).append(r)
+    depth, open_ = 0, []
+    for n, line in enumerate(blank_comments(text, "c").split("\n"), 1):
+        bare = _STRINGS.sub("", line)
+        owner = next((s[3] for _, s in reversed(open_) if s[2] in _OWNERS), None)
+        for r in starts.get(n, []):
+            if owner and r[2] not in _OWNERS:
+                r[4] = owner
+            if "{" in bare and r[2] not in ("field", "variable"):
+                open_.append((depth, r))
+        for c in bare:
+            depth += (c == "{") - (c == "}")
+            while c == "}" and open_ and depth <= open_[-1][0]:
+                open_.pop()[1][7] = n
+    for _, r in open_:
+        r[7] = text.count("\n") + 1
+
+
 def extract(files: DataFrame) -> DataFrame:
-    """Symbols and relations of source files (`path, text, lang`) as rows of FOUND; Python is parsed, other languages are read line by line.
+    """Symbols and relations of source files (`path, text, lang`) as rows of FOUND; Python is parsed, other languages are read line by line, their braces matched.
 
-    A file that doesn't parse gives one row of part 'error'; an unknown language gives nothing; null texts are empty.
+    A file that doesn't parse gives one row of part 'error'; an unknown language gives nothing; null texts are empty; a mapper
+    without namespace gives nothing.
     """
     compiled = {lang: [(part, kind, re.compile(p)) for part, kind, p in rules] for lang, rules in BY_LINE.items()}
 
     def scan(path, text, lang):
         if lang == "py":
             return _python(path, text)
-        rows, inside = [], None
+        rows, inside, owner = [], None, None
+        if lang == "mybatis":
+            space = re.search(r"<mapper\b[^>]*\bnamespace\s*=\s*[\"']([^\"']+)[\"']", text)
+            if not space:
+                return []
+            owner = space.group(1).rsplit(".", 1)[-1]
+        base = re.sub(r"\.\w+$", "", path.rsplit("/", 1)[-1]) if path else None
+        if lang in ("vue", "svelte"):
+            owner = base
         for n, line in enumerate(text.split("\n"), 1):
             for part, kind, pattern in compiled.get(lang, []):
                 for m in pattern.finditer(line):
                     g = m.groupdict()
                     if part == "symbol":
                         inside = g["n"]
-                        rows.append(_row(path, part, kind, g["n"], None, None, n, n, bool(g.get("x"))))
+                        if not (kind == "component" and inside == base):
+                            rows.append(list(_row(path, part, kind, g["n"], owner, g.get("o"), n, n, bool(g.get("x")))))
                     elif kind != "CALLS" or g["t"] != inside:
-                        rows.append(_row(path, part, kind, g.get("n") or inside, None, g["t"], n, n))
+                        rows.append(list(_row(path, part, kind, g.get("n") or inside, None, g["t"], n, n)))
+        if lang in ("js", "java"):
+            _closing(rows, text)
         if lang in ("vue", "svelte", "liquid") and path:
-            base = re.sub(r"\.\w+$", "", path.rsplit("/", 1)[-1])
             kind = {"snippets": "snippet", "sections": "section", "layout": "layout"}.get(path.rsplit("/", 2)[-2] if "/" in path else "", "template") if lang == "liquid" else "component"
             rows.append(_row(path, "symbol", kind, base, None, None, 1, text.count("\n") + 1, True))
-        return rows
+        return [tuple(r) for r in rows]
 
     return _batches(files, scan)
 
 
+def indexed(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two passes of an index over rows of `extract`: all symbols, then the relations with their ends resolved among them.
+
+    Symbols are `id, name, path, kind, parent, line, line_end, exported, lang`, one for each id (the first line).  Relations are
+    `src, dst, kind, line`: a name means the symbol of its own file, else the last of that name by path and line; calls of
+    unknown names are left out, other unknown ends stay as they are written.  Members belong to the symbol that is
+    their parent by name, in their file first, or to the name itself.
+    """
+    s = found.where("part = 'symbol'").withColumn("id", symbol_id(F.col("path"), F.col("name"), F.col("parent")))
+    s = s.groupBy("id").agg(F.min(F.struct("line", "line_end", "name", "path", "kind", "parent", "exported")).alias("r")).select("id", "r.*")
+    by_file = s.groupBy("path", "name").agg(F.max_by("id", "line").alias("_near"))
+    by_name = name_map(s, ["path", "line"]).withColumnRenamed("id", "_far")
+
+    def ends(rows: DataFrame, key: str) -> DataFrame:
+        near = by_file.withColumnRenamed("name", key)
+        return rows.join(near, ["path", key], "left").join(by_name.withColumnRenamed("name", key), key, "left").withColumn("_to", F.coalesce("_near", "_far")).drop("_near", "_far")
+
+    rel = found.where("part = 'relation'").select("path", "kind", "name", "target", "line")
+    module = resolve_module(F.col("path"), F.regexp_replace("target", r"^\.(?=[A-Za-z_])", "./"))
+    paths = s.select("path").distinct().select(F.col("path").alias("_file"), F.regexp_replace("path", r"\.\w+$", "").alias("_module"))
+    imports = rel.where("kind = 'IMPORTS'").withColumn("_module", module).join(paths, "_module", "left")
+    imports = imports.select(F.col("path").alias("src"), F.coalesce("_file", "_module", "target").alias("dst"), "kind", "line")
+    others = ends(rel.where("kind <> 'IMPORTS' and target is not null"), "target").where("kind <> 'CALLS' or _to is not null")
+    around = s.where(F.col("kind") != "field")
+    others = enclosing(others.select("path", "kind", "line", F.coalesce("_to", "target").alias("dst")), around).select(F.col("inside").alias("src"), "dst", "kind", "line")
+    members = ends(s.where("parent is not null").select("id", "path", "parent", "line"), "parent").select(F.col("id").alias("src"), F.coalesce("_to", "parent").alias("dst"), F.lit("MEMBER_OF").alias("kind"), "line")
+    return s, imports.unionByName(others).unionByName(members).where("src <> dst").distinct()
+
+
+def _containing(asked: DataFrame, symbols: DataFrame) -> DataFrame:
+    """`wanted, id`: symbols whose id holds a name, letter case ignored; they meet on the first three characters of the name."""
+    low = F.lower("id")
+    ids = symbols.select("id", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("id")), lambda i: F.array(*[F.substr(low, i, F.lit(n)) for n in (1, 2, 3)]))))).alias("_g")).distinct()
+    keys = asked.select("wanted", F.substring(F.lower("wanted"), 1, 3).alias("_g"))
+    return keys.join(ids, "_g").where(F.contains(low, F.lower("wanted"))).select("wanted", "id")
+
+
+def scoped_names(symbols: DataFrame, asked: DataFrame, most: int = 20) -> DataFrame:
+    """`wanted, id, stage, candidates`: what a name (`wanted`) means: an id, else `Parent.member`, else a name, else a part of an id or name.
+
+    With one hit at the first stage that has any it is resolved; several are listed in `candidates` (up to `most`, by id); a part
+    that fits more than `most` symbols means nothing.
+    """
+    low = symbols.select("id", "name", "parent")
+    w = asked.select("wanted").where("wanted <> ''").distinct()
+    dotted = w.where(F.contains("wanted", F.lit(".")) & ~F.contains("wanted", F.lit("/")))
+    last = F.element_at(F.split("wanted", r"\."), -1)
+    owner = F.element_at(F.split("wanted", r"\."), -2)
+    stages = [
+        w.join(low, w["wanted"] == low["id"]),
+        dotted.join(low, (last == low["name"]) & (owner == low["parent"])),
+        w.join(low, w["wanted"] == low["name"]),
+        _containing(w, low),
+    ]
+    rows = None
+    for i, j in enumerate(stages):
+        one = j.select("wanted", "id", F.lit(i).alias("stage")).distinct()
+        rows = one if rows is None else rows.unionByName(one)
+    first = rows.groupBy("wanted").agg(F.min("stage").alias("stage"))
+    ranked = rows.join(first, ["wanted", "stage"]).withColumn("n", F.row_number().over(Window.partitionBy("wanted").orderBy("id"))).where(F.col("n") <= most + 1)
+    out = ranked.groupBy("wanted", "stage").agg(F.max("n").alias("n"), F.array_sort(F.collect_list("id")).alias("all"))
+    stage = F.element_at(F.array(*map(F.lit, ("id", "member", "name", "part"))), F.col("stage") + 1)
+    known = (F.col("n") > 1) & ((F.col("n") <= most) | (F.col("stage") < 3))
+    found = out.select("wanted", F.when(F.col("n") == 1, F.col("all")[0]).alias("id"), stage.alias("stage"), F.when(known, F.slice("all", 1, most)).otherwise(F.array().cast("array<string>")).alias("candidates"))
+    return asked.select("wanted").distinct().join(found, "wanted", "left")
+
+
+def provenance(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """`start, resolved_by, n`: direct callers of each target (`start`) by what resolved their call; 'name' where nothing says so."""
+    hit = edges.join(targets.select(F.col("start").alias("dst")).distinct(), "dst", "left_semi").where("src <> dst")
+    one = hit.groupBy(F.col("dst").alias("start"), "src").agg(F.min(F.struct("line", F.coalesce("resolved_by", F.lit("name")).alias("by"))).alias("r"))
+    return one.groupBy("start", F.col("r.by").alias("resolved_by")).agg(F.count("*").alias("n"))
+
+
 # How sources declare routes and models.
 ROUTES = [r"\.(get|post|put|patch|delete|all)\s*\(\s*['\"`]([^'\"`]+)['\"`]", r"@(Get|Post|Put|Patch|Delete|All)\s*\(\s*['\"`]([^'\"`]*?)['\"`]\s*\)", r"export\s+(?:async\s+)?function\s+(GET|POST|PUT|PATCH|DELETE)\s*\(()"]
-MODELS = [("prisma", r"model\s+(\w+)\s*\{"), ("drizzle", r"export\s+const\s+(\w+)\s*=\s*\w+Table\s*\(\s*['\"`]\w+['\"`]")]
+MODELS = [("prisma", r"model\s+(\w+)\s*\{"), ("drizzle", r"export\s+const\s+\w+\s*=\s*\w+Table\s*\(\s*['\"`](\w+)['\"`]")]
 
 
 def routes(files: DataFrame) -> DataFrame:
-    """`path, method, route` of HTTP routes that the sources declare."""
-    found = F.concat(*[F.transform(F.arrays_zip(F.regexp_extract_all("text", F.lit("(?i)" + p), F.lit(1)).alias("m"), F.regexp_extract_all("text", F.lit("(?i)" + p), F.lit(2)).alias("r")), lambda x: F.struct(F.upper(x["m"]).alias("method"), x["r"].alias("route"))) for p in ROUTES])
+    """`path, method, route` of HTTP routes that the sources declare; a handler without a route of its own has that of its file."""
+    found = F.concat(*[F.transform(F.arrays_zip(F.regexp_extract_all("text", F.lit("(?i)" + p), F.lit(1)).alias("m"), F.regexp_extract_all("text", F.lit("(?i)" + p), F.lit(2)).alias("r")), lambda x: F.struct(F.upper(x["m"]).alias("method"), F.when(x["r"] == "", F.col("path")).otherwise(x["r"]).alias("route"))) for p in ROUTES])
     return files.select("path", F.explode(found).alias("f")).select("path", "f.method", "f.route").distinct()
 
 
 def models(files: DataFrame) -> DataFrame:
+    """`path, model` of data models that the sources declare, by the names of their tables."""
     found = F.concat(*[F.regexp_extract_all("text", F.lit(p), F.lit(1)) for _, p in MODELS])
     return files.select("path", F.explode(found).alias("model")).distinct()
 

@@ -44,25 +44,57 @@ def related(edges: DataFrame, starts: DataFrame, depth: int = 1) -> DataFrame:
     return reach(both_ways(edges), starts, depth)
 
 
+def related_typed(edges: DataFrame, starts: DataFrame, depth: int = 1, kind: str | None = None) -> DataFrame:
+    """`start, node, depth`: names around each start in at most `depth` (1 to 5) hops along relations (`src, dst, kind`) of one kind, whatever their direction and letter case.
+
+    Names are compared in lower case and reported as they are written first (the smallest spelling); archived ends are not left out.
+    """
+    if kind is not None:
+        edges = edges.where(F.col("kind") == kind)
+    ends = edges.select(F.col("src").alias("n")).unionByName(edges.select(F.col("dst").alias("n")))
+    spelled = ends.groupBy(F.lower("n").alias("node")).agg(F.min("n").alias("_n"))
+    low = edges.select(F.lower("src").alias("src"), F.lower("dst").alias("dst"))
+    hit = related(low, starts.select(F.lower("start").alias("start")).distinct(), max(1, min(5, depth)))
+    return hit.join(spelled, "node").select("start", F.col("_n").alias("node"), "depth")
+
+
 def upstream(edges: DataFrame) -> DataFrame:
     """Edges turned round: from what is used to what uses it."""
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).where("src <> dst").distinct()
 
 
-def blast_radius(edges: DataFrame, symbols: DataFrame, targets: DataFrame) -> DataFrame:
-    """`start, node, depth, confidence`: what is affected by each target within three hops; ids without a symbol end the way."""
-    hit = reach(upstream(edges), targets, 3, symbols.select(F.col("id").alias("node")))
+def directed(edges: DataFrame, direction: str) -> DataFrame:
+    """Edges as they are followed: 'upstream' to what uses a node, 'downstream' to what it uses, 'both' either way."""
+    if direction == "both":
+        return both_ways(edges)
+    return upstream(edges) if direction == "upstream" else edges.select("src", "dst").where("src <> dst").distinct()
+
+
+def blast_radius(edges: DataFrame, symbols: DataFrame, targets: DataFrame, direction: str = "upstream") -> DataFrame:
+    """`start, node, depth, confidence`: what lies within three hops of each target; ids without a symbol end the way."""
+    hit = reach(directed(edges, direction), targets, 3, symbols.select(F.col("id").alias("node")))
     return hit.withColumn("confidence", rounded(0.95 * F.pow(F.lit(0.9), F.col("depth") - 1), 2))
 
 
-def impact_counts(edges: DataFrame, targets: DataFrame) -> DataFrame:
-    """`start, d1, d2, d3, risk`: numbers of affected ids, those without a symbol included; targets without any have zeros."""
-    hit = reach(upstream(edges), targets, 3)
+def impact_counts(edges: DataFrame, targets: DataFrame, direction: str = "upstream", kinds: list[str] | None = None) -> DataFrame:
+    """`start, d1, d2, d3, risk`: numbers of ids within one, two and three hops, those without a symbol included; targets without any have zeros.
+
+    `kinds`: only edges of these kinds (`src, dst, kind`), as a quick check that follows calls alone does.
+    """
+    hit = reach(directed(edges.where(F.col("kind").isin(kinds)) if kinds else edges, direction), targets, 3)
     n = hit.groupBy("start").agg(*[F.count_if(F.col("depth") == d).alias(f"d{d}") for d in (1, 2, 3)])
     out = targets.select("start").distinct().join(n, "start", "left").fillna(0, ["d1", "d2", "d3"])
     return out.withColumn("risk", F.when(F.col("d1") > 5, "HIGH").when(F.col("d1") > 0, "MEDIUM").otherwise("LOW"))
 
 
+def incident_relations(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """`start, side, node, kind`: direct callers and callees of each target by relation (`src, dst, kind`)."""
+    t = targets.select("start").distinct()
+    ins = edges.join(t, edges["dst"] == t["start"]).select("start", F.lit("caller").alias("side"), F.col("src").alias("node"), "kind")
+    outs = edges.join(t, edges["src"] == t["start"]).select("start", F.lit("callee").alias("side"), F.col("dst").alias("node"), "kind")
+    return ins.unionByName(outs).where("start <> node").distinct()
+
+
 def symbol_context(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """`start, callers, callees`: numbers of direct neighbours on either side."""
     e = edges.where("src <> dst").select("src", "dst").distinct()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import vocab as V
+from quern.plans.skew import hot_keys, salted_join
 
 DAY_MS = 86_400_000
 STATES = list(V.FAULT_MOVES)
@@ -98,18 +99,22 @@ def fault_states(events: DataFrame, key: str = "fingerprint_id") -> DataFrame:
     return end.select(key, F.element_at(F.array(*[F.lit(s) for s in STATES]), F.col("end.s")).alias("state"), "total", F.col("end.g").cast("long").alias("regressions"), "first_seen", "last_seen")
 
 
-def bounded_sample(rows: DataFrame, key: str = "fingerprint_id", most: int = 5) -> DataFrame:
-    """At most `most` rows of each key, with `why`: the first, the last, the slowest, the smallest id, then the newest.
+def bounded_sample(rows: DataFrame, regressions: DataFrame | None = None, key: str = "fingerprint_id", most: int = 5) -> DataFrame:
+    """At most `most` rows of each key, with `why`: the first, the last, the slowest, the first since its first regression, the smallest id, then the newest.
 
-    The four are plain aggregates with partial sums; only the newest few of each key are ranked.
+    `regressions` (`key, at`): when a fault came back.  All but the newest are plain aggregates with partial sums; only the newest
+    few of each key are ranked.
     """
     row = F.struct("at", "id", "duration_ms")
-    four = rows.groupBy(key).agg(F.min_by(row, F.struct("at", "id")).alias("a"), F.max_by(row, F.struct("at", "id")).alias("b"), F.max_by(row, F.struct("duration_ms", "at", "id")).alias("c"), F.min_by(row, "id").alias("d"))
-    picked = four.select(key, F.explode(F.array(*[F.struct(F.col(f"{c}.id").alias("id"), F.lit(i).alias("p")) for i, c in enumerate("abcd")])).alias("x")).select(key, "x.*")
+    since = rows.sparkSession.createDataFrame([], f"{key} string, back timestamp") if regressions is None else regressions.groupBy(key).agg(F.min("at").alias("back"))
+    rows = rows.join(since, key, "left")
+    after = F.when(F.col("at") >= F.col("back"), F.struct("at", "id"))
+    four = rows.groupBy(key).agg(F.min_by(row, F.struct("at", "id")).alias("a"), F.max_by(row, F.struct("at", "id")).alias("b"), F.max_by(row, F.struct("duration_ms", "at", "id")).alias("c"), F.min_by(row, after).alias("d"), F.min_by(row, "id").alias("e"))
+    picked = four.select(key, F.explode(F.array(*[F.struct(F.col(f"{c}.id").alias("id"), F.lit(i).alias("p")) for i, c in enumerate("abcde")])).alias("x")).select(key, "x.*").where("id is not null")
     newest = rows.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(F.col("at").desc(), F.col("id").desc()))).where(F.col("n") <= most).select(key, "id", (F.col("n") + 10).alias("p"))
     both = picked.unionByName(newest).groupBy(key, "id").agg(F.min("p").alias("p"))
     ranked = both.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy("p", "id"))).where(F.col("n") <= most)
-    return ranked.select(key, "id", F.element_at(F.array(*map(F.lit, ("first", "last", "slowest", "smallest id", "newest"))), F.least(F.col("p"), F.lit(4)).cast("int") + 1).alias("why"))
+    return ranked.select(key, "id", F.element_at(F.array(*map(F.lit, ("first", "last", "slowest", "first since regression", "smallest id", "newest"))), F.least(F.col("p"), F.lit(5)).cast("int") + 1).alias("why"))
 
 
 def retained(rows: DataFrame, at: str, as_of: str, days: int = 30, most: int | None = None) -> DataFrame:
@@ -132,11 +137,18 @@ def evictable(faults: DataFrame, most: int) -> DataFrame:
 
 
 def abandoned(sessions: DataFrame, minutes: int = 30) -> DataFrame:
-    """Sessions with `status`: an open stable one whose last heartbeat lies `minutes` before the next start of its project and agent is ABANDONED."""
-    w = Window.partitionBy("project_id", "agent").orderBy("started_at", "id")
-    later = F.lead("started_at").over(w)
-    stale = later.isNotNull() & (F.col("heartbeat_at") < later - F.expr(f"interval {minutes} minutes"))
-    return sessions.withColumn("status", F.when((F.col("kind") == "stable") & F.col("ended_at").isNull() & F.coalesce(stale, F.lit(False)), "ABANDONED").when(F.col("ended_at").isNotNull(), "CLOSED").otherwise("OPEN"))
+    """Sessions with `status`: an open stable one is ABANDONED if its last heartbeat lies more than `minutes` before any later start of its project and agent.
+
+    The latest start of each project and agent decides, which is one aggregate; sessions without project or agent meet no other.
+    """
+    own = F.struct("started_at", "id")
+    keyed = sessions.withColumn("_k", F.when(F.col("project_id").isNotNull() & F.col("agent").isNotNull(), F.concat_ws("\u0001", "project_id", "agent")))
+    starts = keyed.where("_k is not null").groupBy("_k").agg(F.max(own).alias("_last"), F.count("*").alias("n"))
+    hot = hot_keys(starts, "_k")
+    out = salted_join(keyed, starts.drop("n"), "_k", hot, F.col("id"), "left")
+    stale = (F.col("_last") > own) & (F.col("heartbeat_at") < F.col("_last.started_at") - F.expr(f"interval {minutes} minutes"))
+    status = F.when((F.col("kind") == "stable") & F.col("ended_at").isNull() & F.coalesce(stale, F.lit(False)), "ABANDONED").when(F.col("ended_at").isNotNull(), "CLOSED").otherwise("OPEN")
+    return out.withColumn("status", status).drop("_k", "_last")
 
 
 def incident_drafts(faults: DataFrame) -> DataFrame:

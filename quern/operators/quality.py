@@ -70,25 +70,30 @@ def schema_problems(entities: DataFrame) -> DataFrame:
     return entities.withColumn("problems", problems).where(F.size("problems") > 0)
 
 
-def missing_relations(entities: DataFrame, texts: DataFrame, relations: DataFrame, most: int = 5) -> DataFrame:
-    """`a, b, shared, confidence`: pairs of entities (`id, name, entity_type`) that share rare tokens of their names and `texts` (`id, text`, any number of rows each) and have no relation.
+def alike_pairs(entities: DataFrame, texts: DataFrame, relations: DataFrame, most: int = 5) -> DataFrame:
+    """`a, b, shared, confidence, related`: pairs of entities (`id, name, entity_type`) that share rare tokens of their names and `texts` (`id, text`, any number of rows each), and whether a relation links them.
 
     A rare token occurs in two to `most` entities of all (and in no more than 5 %, two at least), so a token makes at most `most`
-    squared pairs.  Pairs need one scope, types that go together and two shared tokens.
+    squared pairs.  Pairs need one scope that is there, types that go together and two shared tokens.
     """
-    nodes = entities.select("id", "name", "entity_type", F.coalesce(X.scope_segment(F.col("name")), F.lit("")).alias("scope"))
+    nodes = entities.select("id", "name", "entity_type", X.scope_key(F.col("name")).alias("scope"))
     said = nodes.select("id", F.col("name").alias("text")).unionByName(texts.join(nodes.select("id"), "id", "left_semi").select("id", "text"))
     tokens = said.select("id", F.explode(X.quality_tokens(F.col("text"))).alias("token")).distinct()
     total = F.broadcast(entities.agg(F.greatest(F.lit(2), F.floor(F.count("*") * 0.05)).alias("_cap")))  # one row
     rare = tokens.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df").between(2, most)).crossJoin(total).where("df <= _cap").drop("_cap")
-    rows = tokens.join(rare, "token").join(nodes, "id")
+    rows = tokens.join(rare, "token").join(nodes.where("scope is not null"), "id")
     a, b = rows.alias("a"), rows.alias("b")
     pair = F.concat_ws("|", F.least("a.entity_type", "b.entity_type"), F.greatest("a.entity_type", "b.entity_type"))
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.scope") == F.col("b.scope")) & (F.col("a.id") < F.col("b.id"))).where(pair.isin(V.TYPE_PAIRS))
     pairs = pairs.groupBy(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.name").alias("a_name"), F.col("b.name").alias("b_name")).agg(F.count("*").alias("shared"), F.least(F.lit(1.0), F.sum(1 / F.col("a.df"))).alias("confidence")).where("shared >= 2")
     there = relations.select(F.col("from_name").alias("a_name"), F.col("to_name").alias("b_name"))
-    there = there.unionByName(there.select(F.col("b_name").alias("a_name"), F.col("a_name").alias("b_name"))).distinct()
-    return pairs.join(there, ["a_name", "b_name"], "left_anti").select("a", "b", "shared", "confidence")
+    there = there.unionByName(there.select(F.col("b_name").alias("a_name"), F.col("a_name").alias("b_name"))).distinct().withColumn("related", F.lit(True))
+    return pairs.join(there, ["a_name", "b_name"], "left").select("a", "b", "shared", "confidence", F.coalesce("related", F.lit(False)).alias("related"))
+
+
+def missing_relations(entities: DataFrame, texts: DataFrame, relations: DataFrame, most: int = 5) -> DataFrame:
+    """`a, b, shared, confidence`: the pairs of `alike_pairs` that no relation links."""
+    return alike_pairs(entities, texts, relations, most).where("not related").drop("related")
 
 
 def report(counts: DataFrame) -> DataFrame:

@@ -22,8 +22,14 @@ def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
 
 
+#: Stands for a project that was asked for but not found: nothing is in its scope, not even global rows.
+UNRESOLVED = "\x00unresolved"
+
+
 def in_scope(project: Column, project_id: str | None, include_global: bool = False) -> Column:
-    """Null-safe: no project means global rows only, never everything."""
+    """Null-safe: no project means global rows only, never everything; an unresolved one means nothing."""
+    if project_id == UNRESOLVED:
+        return F.lit(False)
     mine = project.eqNullSafe(F.lit(project_id))
     return mine | project.isNull() if include_global else mine
 
@@ -56,10 +62,18 @@ def open_nodes(asked: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def with_observations(entities: DataFrame, observations: DataFrame, first: int | None = None) -> DataFrame:
-    """Entities with their texts in order of arrival, at most `first` of them."""
+    """Entities with their texts in order of arrival, at most `first` of them.
+
+    Texts without entity don't count.  With `first` they are ranked before the shuffle, so that only the first few of an entity
+    are moved and gathered; without it an entity's row holds all its texts by definition.
+    """
+    observations = observations.where("entity_id is not null").select("entity_id", "seq", "text")
+    if first:
+        w = Window.partitionBy("entity_id").orderBy("seq", "text")
+        observations = observations.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= first).drop("_n")
     texts = observations.groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]).alias("observations"))
     out = entities.join(texts, entities["id"] == texts["entity_id"], "left").drop("entity_id")
-    return out.withColumn("observations", F.coalesce("observations", F.array().cast("array<string>"))).withColumn("observations", F.slice("observations", 1, first) if first else F.col("observations"))
+    return out.withColumn("observations", F.coalesce("observations", F.array().cast("array<string>")))
 
 
 def replace_rows(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -106,6 +120,15 @@ def archive(rows: DataFrame, hit: Column) -> DataFrame:
     return rows.withColumn("lifecycle", F.when(hit & F.col("lifecycle").isin("active", "candidate"), "archived").otherwise(F.col("lifecycle")))
 
 
+def archive_cascade(entities: DataFrame, observations: DataFrame, relations: DataFrame, hit: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three tables with the entities for which `hit` holds archived, and with them their observations and the relations that touch them."""
+    gone = entities.where(hit & F.col("lifecycle").isin("active", "candidate")).select(F.col("id").alias("_g"), F.lit(True).alias("_hit"))
+    with_ = lambda df, key: df.join(gone.select(F.col("_g").alias(key), "_hit"), key, "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    obs = archive(with_(observations, "entity_id"), F.col("_hit")).drop("_hit")
+    rel = with_(with_(relations, "from_entity_id").withColumnRenamed("_hit", "_from"), "to_entity_id")
+    return archive(entities, hit), obs, archive(rel, F.col("_hit") | F.col("_from")).drop("_hit", "_from")
+
+
 def archive_texts(observations: Column, targets: list[str]) -> Column:
     """Array of `(text, archived)`: archived where a text holds one of the targets."""
     return F.transform(observations, lambda o: F.struct(o.alias("text"), F.exists(F.array(*[F.lit(t) for t in targets]), lambda t: F.contains(o, t)).alias("archived")))
@@ -119,6 +142,20 @@ def transition(entities: DataFrame, requests: DataFrame, moves: dict[str, str] =
     return out.select("id", "from", "to", F.when(F.col("from").isNull(), "missing").when(F.col("from") == F.col("to"), "same").when(F.col("legal"), "moved").otherwise("illegal").alias("outcome"))
 
 
+def pick(entities: DataFrame, project_id: str | None, names: DataFrame) -> DataFrame:
+    """Point lookup by name and project: `names` (one column `wanted`) with the entity of exactly that name in the project (null: global), null where there is none."""
+    mine = entities.where(in_scope(F.col("project_id"), project_id)).select(F.col("name").alias("wanted"), "id", "entity_type", "lifecycle")
+    return names.join(mine, "wanted", "left")
+
+
+def among(entities: DataFrame, names: list[str] = (), types: list[str] = ()) -> DataFrame:
+    """Entities with one of the names and one of the types, letter case ignored; an empty list asks for nothing."""
+    for column, wanted in (("name", names), ("entity_type", types)):
+        if wanted:
+            entities = entities.where(F.lower(column).isin([w.lower() for w in wanted]))
+    return entities
+
+
 def append_history(history: Column, entry: Column, cap: int = 50) -> Column:
     """The last `cap` entries after adding one."""
     grown = F.concat(F.coalesce(history, F.array()), F.array(entry))
