@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.catalog import Catalog
 from quern.catalog import fixtures as FX
-from quern.catalog.code import _F, _files
+from quern.catalog.code import _F, _RELATIONS, _SYMBOLS, _files
 from quern.catalog.code import _symbols as _code_symbols
 from quern.catalog.ops import SQL as OPS
 from quern.catalog.ops import _BK, _CALLS, _EV, _G, _UP, _bfs, _buckets, _calls, _edges, _fault_events, _symbols, _targets
@@ -172,11 +172,11 @@ def markdown_stripped(spark, sf):
     return d.select("doc_id", X.plain_markdown(F.col("text")).alias("plain"))
 
 
-@c.query("SELECT id, CASE WHEN status = 'OPEN' THEN true WHEN status = 'CLOSED' THEN false END AS flag, [coalesce(agent, ''), kind] AS parts FROM (SELECT DISTINCT * FROM runtime_sessions)")
+@c.query("SELECT id, CASE WHEN status = 'OPEN' THEN true WHEN status = 'CLOSED' THEN false END AS flag, [coalesce(agent, ''), kind] AS parts, epoch_ms(started_at) % 1000 / 8.0::DOUBLE AS number FROM (SELECT DISTINCT * FROM runtime_sessions)")
 def coerced_values(spark, sf):
     r = load(spark, sf, "runtime_sessions").distinct()
     word = F.when(F.col("status") == "OPEN", "TRUE").when(F.col("status") == "CLOSED", "false").otherwise("maybe")
-    return r.select("id", X.loose_boolean(word).alias("flag"), X.json_or_words(F.to_json(F.array(F.coalesce("agent", F.lit("")), "kind"))).alias("parts"))
+    return r.select("id", X.loose_boolean(word).alias("flag"), X.json_or_words(F.to_json(F.array(F.coalesce("agent", F.lit("")), "kind"))).alias("parts"), X.loose_number(F.concat(F.lit(" "), (F.unix_millis("started_at") % 1000 / 8.0).cast("string"))).alias("number"))
 
 
 @c.query(f"WITH {_F} SELECT DISTINCT path, list_filter([CASE WHEN regexp_matches(path, '(^|/)(routes?|controllers?|api)/') THEN 'routes' END, CASE WHEN regexp_matches(path, '(^|/)(tests?|__tests__|spec)/|\\.(test|spec)\\.') THEN 'tests' END, 'source'], lambda x: x IS NOT NULL) AS phases FROM files")
@@ -288,4 +288,62 @@ def structured_observations(spark, sf):
     return o.select("id", "o.content", "o.archived", F.size("o.history").alias("versions"))
 
 
+@c.query(f"WITH {_EV}, t AS (SELECT fingerprint_id, count(*) AS total, min(at_) AS f FROM ev GROUP BY 1) SELECT fingerprint_id, total, row_number() OVER (ORDER BY f NULLS LAST, fingerprint_id) <= 20 AS detailed FROM t")
+def budget_saturation(spark, sf):
+    return E.within_budget(_fault_events(spark, sf), 20)
+
+
+@c.query(f"""WITH {_BK}, fs AS (SELECT * FROM ({OPS['fault_states']})), lk AS (SELECT fingerprint_id FROM fs WHERE regressions > 1), fr AS (SELECT * FROM fs WHERE state IN ('IGNORED', 'CLOSED', 'VERIFIED_FIXED') AND fingerprint_id NOT IN (SELECT fingerprint_id FROM lk) ORDER BY last_seen, fingerprint_id LIMIT (SELECT greatest(0, count(*) - 10) FROM fs)),
+ sa AS (SELECT DISTINCT ON (id) * FROM diag_operation WHERE id IS NOT NULL ORDER BY id, created_at), n AS (SELECT epoch_ms(TIMESTAMPTZ '2026-03-01 00:00:00+00') AS now)
+ SELECT 'samples' AS t, least(300, (SELECT count(*) FROM sa, n WHERE epoch_ms(created_at) >= now - 30 * 86400000::BIGINT)) AS kept UNION ALL SELECT 'buckets', (SELECT count(*) FROM bk, n WHERE day >= now // 86400000 - 365) UNION ALL SELECT 'faults', (SELECT count(*) FROM fs) - (SELECT count(*) FROM fr)
+ UNION ALL SELECT 'sessions', (SELECT count(*) FROM (SELECT DISTINCT * FROM runtime_sessions), n WHERE epoch_ms(heartbeat_at) >= now - 30 * 86400000::BIGINT) UNION ALL SELECT 'pruned ' || scope, CAST(sum(coalesce(successes, 0) + coalesce(failures, 0)) AS BIGINT) FROM bk, n WHERE day < now // 86400000 - 365 GROUP BY scope""")
+def retention_run(spark, sf):
+    from quern.catalog.ops import _operations
+
+    faults = E.fault_states(_fault_events(spark, sf))
+    out = E.retention(_operations(spark, sf).select("id", "created_at"), _buckets(spark, sf), faults, load(spark, sf, "runtime_sessions").distinct(), faults.where("regressions > 1"), "2026-03-01", 300, 10)
+    rows = out["pruned"].select(F.concat(F.lit("pruned "), "scope").alias("t"), (F.coalesce("pruned_successes", F.lit(0)) + F.coalesce("pruned_failures", F.lit(0))).alias("kept"))
+    for name in ("samples", "buckets", "faults", "sessions"):
+        rows = rows.unionByName(out[name].agg(F.count("*").alias("kept")).select(F.lit(name).alias("t"), "kept"))
+    return rows
+
+
+_CAPSULES = [("c01.json", '{"id": "a", "x": 1}'), ("c02.json", "{broken"), ("c03.json", '{"id": "a"}'), ("c04.json", '{"id": "old"}'), ("c05.json", '{"id": "b", "t": "' + "x" * 50 + '"}'), ("c06.json", "[1]"), ("c07.json", '{"id": "c"}')]
+
+
+@c.query("SELECT * FROM (" + FX.values([("c01.json", "a", "imported"), ("c02.json", None, "invalid"), ("c03.json", "a", "duplicate"), ("c04.json", "old", "duplicate"), ("c05.json", "b", "too long"), ("c06.json", None, "invalid")]) + ") t(file, id, outcome)")
+def crash_capsules(spark, sf):
+    known = spark.createDataFrame([("old",)], "id string")
+    return L.capsules(spark.createDataFrame(_CAPSULES, "file string, value string"), known, 6, 40)
+
+
+@c.query("WITH e AS (SELECT event_id, ts, CASE event_type WHEN 'click' THEN 'tool:call' WHEN 'view' THEN 'search:query' ELSE 'other:' || event_type END AS type FROM events) SELECT event_id, type FROM e WHERE type IN ('tool:call', 'tool:result', 'search:query', 'search:fusion', 'bridge:forward') AND ts IS NOT NULL ORDER BY ts DESC, event_id DESC LIMIT 1000")
+def trace_tail(spark, sf):
+    t = F.when(F.col("event_type") == "click", "tool:call").when(F.col("event_type") == "view", "search:query").otherwise(F.concat(F.lit("other:"), "event_type"))
+    return L.trace_tail(load(spark, sf, "events").select("event_id", "ts", t.alias("type")), 1000, ["ts", "event_id"]).select("event_id", "type")
+
+
+@c.query("SELECT * FROM (" + FX.values([("meta", None), *[("symbol", i) for i, *_ in _SYMBOLS], *[("relation", f"{a} {k} {b}") for a, b, k, _ in _RELATIONS]]) + ") t(type, what)")
+def code_graph_lines(spark, sf):
+    """An index written as lines and read again."""
+    lines = L.graph_lines(*K.indexed(K.extract(FX.files(spark))))
+    r = L.parsed_lines(lines, L.GRAPH).where("not bad").select("record.*")
+    return r.select(F.col("_type").alias("type"), F.when(F.col("_type") == "symbol", F.col("id")).when(F.col("_type") == "relation", F.concat_ws(" ", "from", "kind", "to")).alias("what"))
+
+
+@c.query(f"WITH {OBS}, o AS (SELECT id, created_at, printf('%012x', epoch_ms(created_at)) AS ms, sha256(id) AS h FROM obs WHERE created_at IS NOT NULL) SELECT id, ms[1:8] || '-' || ms[9:12] || '-7' || h[1:3] || '-8' || h[4:6] || '-' || h[7:18] AS ordered FROM o")
+def time_ordered_ids(spark, sf):
+    return observations(spark, sf).where("created_at is not null").select("id", X.time_ordered_id(F.col("created_at"), F.col("id")).alias("ordered"))
+
+
+@c.query("SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false END AS ok, CASE WHEN doc_id % 5 < 4 THEN text END AS output FROM documents WHERE text IS NOT NULL")
+def call_outcomes(spark, sf):
+    """Results of calls in five shapes: fine, marked as an error, fine without a mark, `Err`, and something else."""
+    d, n = _docs(spark, sf), F.col("doc_id") % 5
+    content = F.array(F.struct("text")).alias("content")
+    ok = lambda *flag: F.to_json(F.struct(F.struct(*flag, content).alias("Ok")))
+    shape = F.when(n == 0, ok(F.lit(False).alias("isError"))).when(n == 1, ok(F.lit(True).alias("isError"))).when(n == 2, ok()).when(n == 3, F.to_json(F.struct(F.col("text").alias("Err")))).otherwise(F.lit('{"pending": 1}'))
+    return d.select("doc_id", X.call_outcome(shape).alias("r")).select("doc_id", "r.*")
+
+
 QUERIES, SQL = c.QUERIES, c.SQL

@@ -106,12 +106,13 @@ _MARKERS = "['Cannot read properties of', 'is not a function', 'is not defined',
 _STARTS = r"regexp_matches({0}, '^\s*Error:')"
 
 
-@c.query(f"""WITH l AS (SELECT doc_id, unnest({_LINES}) AS value, generate_subscripts({_LINES}, 1) AS line FROM documents WHERE text IS NOT NULL), m AS (SELECT doc_id, line, value, list_filter({_MARKERS}, lambda m: contains(substr(value, 1, 300), m))[1] AS hit FROM l)
- SELECT doc_id, CAST(line AS INT) AS line, CASE WHEN {_STARTS.format('value')} THEN 'Error:' ELSE hit END AS marker FROM m WHERE hit IS NOT NULL OR {_STARTS.format('value')}""")
+@c.query(f"""WITH l AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN ' Error: ' || text WHEN 1 THEN 'open ENOENT ' || text WHEN 2 THEN repeat('.', 300) || 'ENOENT' ELSE text END AS value FROM documents WHERE text IS NOT NULL), m AS (SELECT doc_id, value, list_filter({_MARKERS}, lambda m: contains(substr(value, 1, 300), m))[1] AS hit FROM l)
+ SELECT doc_id, CASE WHEN {_STARTS.format('value')} THEN 'Error:' ELSE hit END AS marker FROM m""")
 def error_markers(spark, sf):
-    """Each line of a text is an output of its own."""
-    d = load(spark, sf, "documents").where("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "value"))
-    return d.select("doc_id", (F.col("line") + 1).alias("line"), X.error_marker(F.col("value")).alias("marker")).where("marker is not null")
+    """Texts as the outputs of calls: some start with an error, some hold one, some only behind the first 300 characters."""
+    n = F.col("doc_id") % 4
+    out = F.when(n == 0, F.concat(F.lit(" Error: "), "text")).when(n == 1, F.concat(F.lit("open ENOENT "), "text")).when(n == 2, F.concat(F.repeat(F.lit("."), 300), F.lit("ENOENT"))).otherwise(F.col("text"))
+    return load(spark, sf, "documents").where("text is not null").select("doc_id", X.error_marker(out).alias("marker"))
 
 
 @c.query(f"""WITH l AS (SELECT doc_id, coalesce(list_filter({_LINES}, lambda x: {_STARTS.format('x')} OR len(list_filter({_MARKERS}, lambda m: contains(substr(x, 1, 300), m))) > 0)[1], {_LINES}[1]) AS line FROM documents WHERE text IS NOT NULL)

@@ -342,3 +342,22 @@ def scan_phases(path: Column) -> Column:
     # Phase and the paths that belong to it.
     rules = [("identity", r"(^|/)(package\.json|pyproject\.toml|go\.mod|Cargo\.toml|README\.md)$"), ("schema", r"(^|/)(prisma|migrations?|schema)(/|\.)|\.sql$"), ("routes", r"(^|/)(routes?|controllers?|api)/"), ("tests", r"(^|/)(tests?|__tests__|spec)/|\.(test|spec)\."), ("ci", r"(^|/)\.github/|(^|/)(Dockerfile|docker-compose\.ya?ml)$"), ("source", r"\.(m?[jt]sx?|py|java|go|rs|rb|php|vue|svelte)$")]
     return F.array_compact(F.array(*[F.when(path.rlike(p), n) for n, p in rules]))
+
+
+def loose_number(text: Column) -> Column:
+    """A number given as text; null for anything else."""
+    return F.when(F.trim(text).rlike(r"^-?\d+(\.\d+)?$"), F.trim(text).try_cast("double"))
+
+
+def call_outcome(result: Column) -> Column:
+    """`ok, output` of a call's result as JSON: `Ok` with or without `isError`, or `Err`; both null if it is neither, a tri-state on purpose."""
+    r = F.from_json(result, "struct<Ok:struct<isError:boolean,content:array<struct<text:string>>>,Err:string>")
+    ok = F.when(r["Err"].isNotNull(), False).when(r["Ok"].isNotNull(), ~F.coalesce(r["Ok"]["isError"], F.lit(False)))
+    said = F.array_join(F.transform(r["Ok"]["content"], lambda p: F.coalesce(p["text"], F.lit(""))), "\n")
+    return F.struct(ok.alias("ok"), F.coalesce(r["Err"], said).alias("output"))
+
+
+def time_ordered_id(at: Column, unique: Column) -> Column:
+    """An id in the form of a UUID of version 7: milliseconds, then bits of a hash of `unique`; the same input always gives the same id."""
+    ms, h = F.lpad(F.lower(F.hex(F.unix_millis(at))), 12, "0"), F.sha2(unique, 256)
+    return F.concat_ws("-", F.substring(ms, 1, 8), F.substring(ms, 9, 4), F.concat(F.lit("7"), F.substring(h, 1, 3)), F.concat(F.lit("8"), F.substring(h, 4, 3)), F.substring(h, 7, 12))

@@ -156,3 +156,36 @@ def incident_drafts(faults: DataFrame) -> DataFrame:
     line = lambda k, v: F.concat(F.lit(f"{k}: "), v)
     texts = F.array(line("SYMPTOM", F.col("fingerprint_id")), line("TOTAL", F.col("total").cast("string")), line("REGRESSIONS", F.col("regressions").cast("string")), line("STATE", F.col("state")))
     return faults.where("state = 'VERIFIED_FIXED'").select("fingerprint_id", F.posexplode(texts).alias("ord", "text"))
+
+
+def within_budget(events: DataFrame, most: int, key: str = "fingerprint_id", at: str = "at") -> DataFrame:
+    """`key, total, detailed`: every fault counts, but only the first `most` that appear keep more than their total.
+
+    The first ones are a distributed top-n over one row for each fault.
+    """
+    each = events.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("total"), F.min(at).alias("_first"))
+    first = each.orderBy(F.col("_first").asc_nulls_last(), key).limit(most).select(key, F.lit(True).alias("detailed"))
+    return each.join(first, key, "left").select(key, "total", F.coalesce("detailed", F.lit(False)).alias("detailed"))
+
+
+def retention(samples: DataFrame, buckets: DataFrame, faults: DataFrame, sessions: DataFrame, linked: DataFrame, as_of: str, most_samples: int = 2000, most_faults: int = 5000, days: int = 30, bucket_days: int = 365) -> dict[str, DataFrame]:
+    """One pass of retention: what is kept of each table, and the counts of the buckets that go.
+
+    Samples (`id, created_at`) of the last `days`, of these the newest; buckets (`scope, day, successes, failures`) of the last `bucket_days`, the
+    others added up by scope in 'pruned'; faults (`fingerprint_id, state, last_seen`) up to their number, the longest unseen go first and only
+    if they are ignored, closed or verified and not `linked` (`fingerprint_id`) to an incident; sessions (`id, heartbeat_at`) with a sign of life in the last `days`.
+    """
+    now = F.lit(as_of).cast("timestamp")
+    last = F.datediff(now, F.lit("1970-01-01")) - bucket_days
+    old = buckets.where(F.col("day") < last)
+    pruned = old.groupBy("scope").agg(F.sum("successes").alias("pruned_successes"), F.sum("failures").alias("pruned_failures"))
+    free = faults.join(linked.select("fingerprint_id").distinct(), "fingerprint_id", "left_anti").where(F.col("state").isin("IGNORED", "CLOSED", "VERIFIED_FIXED"))
+    over = max(0, faults.count() - most_faults)
+    gone = free.orderBy("last_seen", "fingerprint_id").limit(over).select("fingerprint_id")
+    return {
+        "samples": retained(samples, "created_at", as_of, days, most_samples),
+        "buckets": buckets.where(F.col("day") >= last),
+        "pruned": pruned,
+        "faults": faults.join(gone, "fingerprint_id", "left_anti"),
+        "sessions": sessions.where(F.col("heartbeat_at") >= now - F.expr(f"interval {days} days")),
+    }

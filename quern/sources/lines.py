@@ -91,4 +91,39 @@ def package_facts(files: DataFrame, path: str = "path", text: str = "text") -> D
     return files.select(path, eco.alias("ecosystem"), name.alias("package_name")).where("ecosystem is not null")
 
 
+def capsules(lines: DataFrame, known: DataFrame, most_files: int = 32, most_chars: int = 16_384) -> DataFrame:
+    """`file, id, outcome` of reports left behind by crashes (`file, value`: one JSON object each): 'imported', 'duplicate' (an id that is known
+    or occurs in an earlier file), 'too long' or 'invalid' (to be put aside); only the first `most_files` files by name are looked at, the others wait.
+    """
+    some = lines.orderBy("file").limit(most_files)
+    ok = F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{")
+    rows = some.withColumn("id", F.when(ok, F.get_json_object("value", "$.id"))).withColumn("_long", F.length("value") > most_chars)
+    good = rows.where("id is not null and not _long")
+    first = good.groupBy("id").agg(F.min("file").alias("_first"))
+    out = rows.join(first, "id", "left").join(known.select("id", F.lit(True).alias("_known")).distinct(), "id", "left")
+    return out.select("file", "id", F.when(F.col("_long"), "too long").when(F.col("id").isNull(), "invalid").when(F.col("_known") | (F.col("file") != F.col("_first")), "duplicate").otherwise("imported").alias("outcome"))
+
+
+# Events that a trace may hold.
+TRACE_TYPES = ["tool:call", "tool:result", "search:query", "search:fusion", "bridge:forward"]
+
+
+def trace_tail(events: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The last `n` (one at least) of the events (`type, ts`) that a trace may hold, newest first: a distributed top-n."""
+    fine = events.where(F.col("type").isin(TRACE_TYPES) & F.col("ts").isNotNull())
+    return fine.orderBy(*[F.col(c).desc() for c in order]).limit(max(1, n))
+
+
+GRAPH = "struct<_type:string,id:string,kind:string,name:string,file:string,from:string,to:string,line:int,symbols:long,relations:long>"
+
+
+def graph_lines(symbols: DataFrame, relations: DataFrame) -> DataFrame:
+    """A code graph (`id, kind, name, path`; `src, dst, kind, line`) as JSON lines: `part, value`, the counts first."""
+    s = symbols.select(F.lit(1).alias("part"), F.to_json(F.struct(F.lit("symbol").alias("_type"), "id", "kind", "name", F.col("path").alias("file"))).alias("value"))
+    r = relations.select(F.lit(2).alias("part"), F.to_json(F.struct(F.lit("relation").alias("_type"), F.col("src").alias("from"), F.col("dst").alias("to"), "kind", "line")).alias("value"))
+    n = symbols.agg(F.count("*").alias("symbols")).crossJoin(relations.agg(F.count("*").alias("relations")))
+    meta = n.select(F.lit(0).alias("part"), F.to_json(F.struct(F.lit("meta").alias("_type"), "symbols", "relations")).alias("value"))
+    return meta.unionByName(s).unionByName(r)
+
+
 LINE_SCHEMA = T.StructType([T.StructField("file", T.StringType()), T.StructField("value", T.StringType())])

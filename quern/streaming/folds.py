@@ -47,7 +47,7 @@ def fault_states(events: DataFrame) -> DataFrame:
 
     def fold(key: tuple, groups: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         now, total, again, first, last = state.get if state.exists else (None, 0, 0, None, None)
-        rows = pd.concat(list(groups)).sort_values(["at", "id"], kind="stable")
+        rows = pd.concat([g[["at", "id", "event"]] for g in groups]).sort_values(["at", "id"], kind="stable")
         for at, event in zip(rows["at"], rows["event"]):
             now, back = next_state(now, event)
             again += back
