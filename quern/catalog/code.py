@@ -78,12 +78,20 @@ def best_candidates(spark, sf):
     return K.best_candidate(_scores(spark, sf))
 
 
+@c.query(f"WITH {_SC} SELECT DISTINCT ref_id, ref_id AS target FROM rf")
+def import_resolution(spark, sf):
+    """Each reference imports its own symbol's file from a sibling, without the ending; `import_endings` has the harder cases."""
+    r = _refs(spark, sf).withColumn("path", F.concat(F.lit("src/"), F.hash("ref_id").cast("string"), F.lit(".mjs")))
+    module = F.concat(F.lit("./"), F.regexp_extract("ref_id", r"^src/(.*)\.mjs::", 1))
+    return K.import_targets(r, r.select("path", "name", module.alias("module")), _symbols(spark, sf))
+
+
 _IMPORTS = [("a/main.ts", "one", "./lib/one"), ("a/main.ts", "two", "./lib/two"), ("a/main.ts", "three", "../b/three"), ("a/main.ts", "four", "./lib"), ("a/main.ts", "five", "five"), ("a/main.ts", "six", "./lib/six.ts")]
 _EXPORTS = ["a/lib/one.mjs::one", "a/lib/one.ts::one", "a/lib/two/index.js::two", "a/lib/two/index.ts::two", "b/three.py::three", "c/three.ts::three", "a/lib/deep/x.ts::four", "five.ts::five", "a/lib/six.ts::six", "a/lib/one.ts::other"]
 
 
 @c.query("SELECT * FROM (" + FX.values([("one", "a/lib/one.ts::one"), ("two", "a/lib/two/index.ts::two"), ("three", "b/three.py::three"), ("four", "a/lib/deep/x.ts::four"), ("six", "a/lib/six.ts::six")]) + ") t(ref_id, target)")
-def import_resolution(spark, sf):
+def import_endings(spark, sf):
     """Endings in their order, a folder's index, a path upwards, a name below the path, a path with its ending; a bare name is none."""
     imports = spark.createDataFrame(_IMPORTS, "path string, name string, module string")
     symbols = spark.createDataFrame([(x.split("::")[1], x, x.split("::")[0]) for x in _EXPORTS], "name string, id string, path string")

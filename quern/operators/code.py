@@ -316,7 +316,8 @@ BY_LINE = {
         ("symbol", "class", r"^\s*(?P<x>public\s+)?(?:abstract\s+|final\s+|static\s+)*class\s+(?P<n>\w+)"),
         ("symbol", "interface", r"^\s*(?P<x>public\s+)?interface\s+(?P<n>\w+)"),
         ("symbol", "enum", r"^\s*(?P<x>public\s+)?enum\s+(?P<n>\w+)"),
-        ("symbol", "method", r"^\s+(?P<x>public\s+)?(?:protected\s+|private\s+|static\s+|final\s+|synchronized\s+)*[\w<>\[\],.? ]+\s+(?P<n>\w+)\s*\([^)]*\)\s*(?:throws\s+[\w, ]+)?\{"),
+        ("symbol", "constructor", r"^\s+(?P<x>public\s+)?(?:protected\s+|private\s+)?(?P<n>[A-Z]\w*)\s*\([^)]*\)\s*(?:throws\s+[\w, ]+)?\{"),
+        ("symbol", "method", r"^\s+(?P<x>public\s+)?(?:protected\s+|private\s+|static\s+|final\s+|synchronized\s+)*(?!(?:public|protected|private|static|final|synchronized|return|new|else|throw)\b)[\w<>\[\],.?][\w<>\[\],.? ]*\s+(?!if\b|for\b|while\b|switch\b|catch\b)(?P<n>\w+)\s*\([^)]*\)\s*(?:throws\s+[\w, ]+)?\{"),
         ("symbol", "field", r"^\s+(?P<x>public\s+)?(?:protected\s+|private\s+|static\s+|final\s+)+[\w<>\[\],.? ]+\s+(?P<n>\w+)\s*(?:=|;)"),
         ("relation", "IMPORTS", r"^import\s+(?:static\s+)?(?P<t>[\w.]+(?:\.\*)?);"),
         ("relation", "EXTENDS", r"\b(?:class|interface)\s+(?P<n>\w+)[^{]*?\bextends\s+(?P<t>\w+)"),

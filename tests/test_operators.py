@@ -186,27 +186,140 @@ def test_ledger_limits(spark):
     assert E.health(spark.createDataFrame([(0, 0), (3, 1)], "successes long, failures long")).select("score").collect()[0][0] == 100
 
 
+# source, name and owner of the target, kind of its symbol, and where the edge starts
 SOURCES = {
-    "express": ("router.get('/a', show)", "show", None), "laravel": ("[UserController::class, 'index']", "index", "UserController"), "nestjs": ("@Inject(TOKEN)", "TOKEN", None), "react": ("<UserCard id=1 />", "UserCard", None),
-    "vue": ("<user-card />", "user-card", None), "django": ("path('a/', views.home)", "views.home", None), "rails": ("get '/a' => 'users#show'", "show", "users"), "svelte": ("{#if ready(x)}", "ready", None), "shopify": ("{% render 'card' %}", "card", None),
-}
+    "express": ("router.get('/a', show)", "show", None, "function", "f.x::top"),
+    "laravel": ("[UserController::class, 'index']", "index", "UserController", "method", "f.x"),
+    "nestjs": ("@Inject(TOKEN)", "TOKEN", None, "constant", "f.x::top"),
+    "react": ("<UserCard id=1 />", "UserCard", None, "function", "f.x::top"),
+    "vue": ("<user-card />", "UserCard", None, "component", "f.x::top"),
+    "django": ("path('a/', views.home)", "home", None, "function", "f.x"),
+    "rails": ("get '/a' => 'users#show'", "show", "UsersController", "method", "f.x"),
+    "svelte": ("{#if ready(x)}", "ready", None, "function", "f.x::top"),
+    "shopify": ("{% render 'card.liquid' %}", "card", None, "snippet", "f.x::top"),
+}
+SYMBOL = "id string, name string, path string, parent string, kind string, line int, line_end int"
 
 
 @pytest.mark.parametrize("name", SOURCES)
 def test_frameworks(spark, name):
-    text, target, owner = SOURCES[name]
+    text, target, owner, kind, start = SOURCES[name]
     files = spark.createDataFrame([("f.x", "\n\n" + text + "\n" + text, "js"), ("empty", None, "js")], "path string, text string, lang string")
     got = {(r["name"], r["parent"], r["line"]) for r in K.framework_matches(files, [name]).collect()}
     assert {(target, owner, 3), (target, owner, 4)} <= got
-    symbols = spark.createDataFrame([("f.x::top", "top", "f.x", None, 1, 9), (f"g::{target}", target, "g", owner, 1, 2)], "id string, name string, path string, parent string, line int, line_end int")
-    assert {(r["src"], r["dst"]) for r in K.framework_edges(K.framework_matches(files, [name]), symbols).collect()} >= {("f.x::top", f"g::{target}")}
+    symbols = spark.createDataFrame([("f.x::top", "top", "f.x", None, "function", 1, 9), (f"g::{target}", target, "g", owner, kind, 1, 2), (f"a::{target}", target, "a", owner, "no kind" if kind not in ("method", "constant", "snippet") else kind, 1, 2)][: 3 if kind not in ("method", "constant", "snippet") else 2], SYMBOL)
+    edges = {(r["src"], r["dst"], r["line"]) for r in K.framework_edges(K.framework_matches(files, [name]), symbols).collect()}
+    assert edges == {(start, f"g::{target}", 3), (start, f"g::{target}", 4)}
+    assert K.framework_edges(K.framework_matches(files.limit(0), [name]), symbols).count() == 0
+
+
+def test_frameworks_leave_out_what_is_their_own(spark):
+    php = "Cache::get('x');\nview('users.profile');\nroute('users.edit')\nApp::run()"
+    py = "@app.route('/p')\ndef ping(): pass\n@router.get('/q')\nasync def query(): pass\n"
+    files = spark.createDataFrame([("r.php", php, "php"), ("a.py", py, "py"), ("s.svelte", "{#each list() as x}{$state(1)}{each(x)}", "svelte")], "path string, text string, lang string")
+    symbols = [("v", "profile", "resources/views/users/profile.blade.php", None, "component", 1, 9), ("e", "edit", "c.php", "C", "method", 1, 2), ("g", "get", "c.php", "Cache", "method", 1, 2), ("a.py::ping", "ping", "a.py", None, "function", 2, 2), ("b.py::query", "query", "b.py", None, "function", 1, 1), ("l", "list", "l.js", None, "function", 1, 1), ("x", "each", "l.js", None, "function", 1, 1)]
+    edges = K.framework_edges(K.framework_matches(files, ["laravel", "django", "svelte"]), spark.createDataFrame(symbols, SYMBOL)).collect()
+    assert {(r["src"], r["dst"], r["confidence"]) for r in edges} == {("r.php", "v", 0.85), ("r.php", "e", 0.65), ("a.py", "a.py::ping", 0.9), ("s.svelte", "l", 0.85)}
+    assert {(r["framework"], r["n"]) for r in K.framework_counts(K.framework_edges(K.framework_matches(files, ["laravel", "django"]), spark.createDataFrame(symbols, SYMBOL))).collect()} == {("laravel", 2), ("django", 1)}
+    K.register_framework("own", r"\bcall_me\s*\(\s*(\w+)", kinds="function")
+    own = spark.createDataFrame([("o.x", "call_me(list)", "own")], "path string, text string, lang string")
+    assert [(r["dst"], r["resolved_by"]) for r in K.framework_edges(K.framework_matches(own, ["own"]), spark.createDataFrame(symbols, SYMBOL)).collect()] == [("l", "framework:own")]
+    K._ADDED.clear()
+
+
+def test_sure_strategies_end_the_cascade(spark):
+    part = lambda *rows: spark.createDataFrame(rows, "ref_id string, target string, confidence double")
+    got = K.cascade(part(("a", "fw", 0.92), ("b", "fw", 0.7)), part(("b", "im", 0.88), ("c", "im", 0.88)), part(("a", "nm", 1.0), ("b", "nm", 0.95), ("c", "nm", 0.88), ("d", "nm", 0.1)))
+    assert {r["ref_id"]: (r["target"], r["resolved_by"]) for r in got.collect()} == {"a": ("fw", "framework"), "b": ("nm", "name"), "c": ("im", "import"), "d": ("nm", "name")}
+    bound = spark.createDataFrame([("a/handlers/x.js", "dispatch", None, "function"), ("a/handlers/x.js", "boot", None, "function"), ("handlers/x.js", "run", None, "function"), ("a/x.js", "y", "UserController", "method"), ("a/x.js", "y", "UserController", "function"), ("a/controllers/x.js", "y", None, "method"), ("a/controllers/x.js", "y", None, "class")], "path string, name string, parent string, kind string")
+    assert [r[0] for r in bound.select(K.framework_bound(*map(F.col, bound.columns))).collect()] == [True, False, False, True, False, True, False]
+
+
+def test_index_in_two_passes(spark):
+    java = 'class A {\n  // { not a brace\n  static String s = "{";\n  void run() {\n    if (x) { call(); }\n  }\n  void call() { }\n}\nclass B {\n  void run() { call(); }\n}\n'
+    found = K.extract(spark.createDataFrame([("p/A.java", java, "java"), ("m.xml", '<mapper namespace="p.A"><select id="one"><include refid="cols"/></select></mapper>', "mybatis"), ("no.xml", '<select id="two"/>', "mybatis"), ("e.py", None, "py")], "path string, text string, lang string"))
+    symbols, relations = K.indexed(found)
+    assert {(r["id"], r["line"], r["line_end"]) for r in symbols.where("kind in ('class', 'method', 'mybatis-statement')").collect()} == {("p/A.java::A", 1, 8), ("p/A.java::A.run", 4, 6), ("p/A.java::A.call", 7, 7), ("p/A.java::B", 9, 11), ("p/A.java::B.run", 10, 10), ("m.xml::A.one", 1, 1)}
+    rel = {(r["src"], r["dst"], r["kind"]) for r in relations.collect()}
+    assert {("p/A.java::A.run", "p/A.java::A.call", "CALLS"), ("m.xml::A.one", "p/A.java::A", "MEMBER_OF"), ("p/A.java::B.run", "p/A.java::B", "MEMBER_OF")} <= rel
+    s, r = K.indexed(found.limit(0))
+    assert s.count() == 0 and r.count() == 0
+
+
+def test_scoped_entities_search(spark):
+    ents = spark.createDataFrame([("e1", "A:one", "p", "active"), ("e2", "A:two", None, "active"), ("e3", "A:three", "q", "active"), ("e4", "A:four", "p", "archived"), ("e5", "A:five", "p", "candidate")], "id string, name string, project_id string, lifecycle string")
+    obs = spark.createDataFrame([(e, "shared words here", "active") for e in ("e1", "e2", "e3", "e4", "e5")] + [("e1", "hidden", "archived"), (None, "shared", "active"), ("e1", None, "active")], "entity_id string, text string, lifecycle string")
+    ask = spark.createDataFrame([("mine", "shared", "p", False), ("mine", "words", "p", False), ("both", "shared", "p", True), ("none", "shared", None, False), ("gone", "hidden", "p", True)], "query_id string, term string, project_id string, global boolean")
+    got = {(r["query_id"], r["doc_id"]) for r in R.scoped_bm25(ents, obs, ask).collect()}
+    assert got == {("mine", "e1"), ("both", "e1"), ("both", "e2"), ("none", "e2")}
+    assert [(r["query_id"], r["doc_id"], r["score"]) for r in R.archived_search(ents, obs, ask.where("query_id = 'mine'")).collect()] == [("mine", "e4", 1.0)]
+    assert R.scoped_bm25(ents.limit(0), obs, ask).count() == 0 and R.scoped_bm25(ents, obs, ask.limit(0)).count() == 0
+    e = spark.createDataFrame([("x", None)], "id string, project_id string").withColumn("lifecycle", F.lit("active"))
+    assert S.visible(e, S.UNRESOLVED, True).count() == 0 and S.visible(e, None).count() == 1 and S.visible(e, "p", True).count() == 1
+
+
+def test_nearest_in_chunks_of_queries(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(f"k{i}", [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)]
+    v = spark.createDataFrame(rows, "vec_id string, embedding array<float>")
+    whole = {tuple(r) for r in R.nearest(v, v.where("vec_id like '%0'"), 3).collect()}
+    monkeypatch.setattr(R, "QUERY_VALUES", 8)
+    assert {tuple(r) for r in R.nearest(v, v.where("vec_id like '%0'"), 3).collect()} == whole and len(whole) == 18
+    assert R.nearest(v, v.limit(0), 3).count() == 0 and R.nearest(v.limit(0), v, 3).count() == 0
+    assert R.nearest(v, v.where("vec_id = 'k1'"), 3, floor=2.0).count() == 0
+
+
+def test_hybrid_of_one_list_and_stale_hits(spark):
+    ranks = lambda *rows: spark.createDataFrame(rows, "query_id int, doc_id int, rank int")
+    asked = spark.createDataFrame([(1, "one two three"), (2, "x")], "query_id int, text string")
+    got = R.hybrid(ranks((1, 10, 1), (1, 11, 2)), ranks((1, 11, 1), (2, 12, 1), (2, 99, 2)), asked, spark.createDataFrame([(10, "a"), (11, "b"), (12, "c")], "doc_id int, kind string")).collect()
+    assert {(r["query_id"], r["doc_id"], r["rank"], tuple(r["sources"]), r["degraded"], r["score"]) for r in got} == {(1, 11, 1, (0, 1), False, round(1 / 62 + 1 / 61, 4)), (1, 10, 2, (0,), False, round(1 / 61, 4)), (2, 12, 1, (1,), True, round(1 / 76, 4))}
+
+
+def test_names_and_parts_of_ids(spark):
+    s = spark.createDataFrame([("a.js::Run", "Run", None), ("b.js::K.go", "go", "K"), ("c.js::L.go", "go", "L")], "id string, name string, parent string")
+    ask = spark.createDataFrame([(w,) for w in ("K.go", "go", "run", "js::l", "", None, "zz")], "wanted string")
+    got = {r["wanted"]: (r["id"], r["stage"], r["candidates"]) for r in K.scoped_names(s, ask).collect()}
+    assert got["K.go"] == ("b.js::K.go", "member", []) and got["go"] == (None, "name", ["b.js::K.go", "c.js::L.go"]) and got["run"] == ("a.js::Run", "part", []) and got["js::l"] == ("c.js::L.go", "part", [])
+    assert got["zz"][1] is None and got[""][1] is None
+
+
+def test_relations_around_by_type_and_case(spark):
+    e = spark.createDataFrame([("A", "b", "uses"), ("B", "C", "uses"), ("c", "d", "owns"), ("A", "A", "uses")], "src string, dst string, kind string")
+    got = {tuple(r) for r in G.related_typed(e, spark.createDataFrame([("a",)], "start string"), 9, "uses").select("start", "node", "depth").collect()}
+    assert got == {("a", "B", 1), ("a", "C", 2)}
+    sym = spark.createDataFrame([("A",), ("b",), ("B",)], "id string")
+    assert {(r["node"], r["depth"]) for r in G.blast_radius(e, sym, spark.createDataFrame([("A",)], "start string"), "downstream").collect()} == {("b", 1)}
+    assert tuple(G.impact_counts(e, spark.createDataFrame([("d",)], "start string"), kinds=["uses"]).first())[1:] == (0, 0, 0, "LOW")
+
+
+def test_sessions_and_samples_look_at_all_that_follows(spark):
+    at = lambda m: T0 + dt.timedelta(minutes=m)
+    rows = [("1", "p", "a", "stable", at(0), at(1), None), ("2", "p", "a", "stable", at(20), at(20), None), ("3", "p", "a", "process", at(60), at(60), None), ("4", None, "a", "stable", at(0), at(0), None), ("5", None, "a", "stable", at(90), at(90), None), ("6", "p", "b", "stable", at(0), at(0), at(5)), ("7", "p", "a", "stable", at(31), at(31), None)]
+    s = spark.createDataFrame(rows, "id string, project_id string, agent string, kind string, started_at timestamp, heartbeat_at timestamp, ended_at timestamp")
+    assert {r["id"]: r["status"] for r in E.abandoned(s).collect()} == {"1": "ABANDONED", "2": "ABANDONED", "3": "OPEN", "4": "OPEN", "5": "OPEN", "6": "CLOSED", "7": "OPEN"}
+    assert E.abandoned(s.limit(0)).count() == 0
+    rows = spark.createDataFrame([("f", at(i), f"{50 - i:02d}", i) for i in range(20)], "fingerprint_id string, at timestamp, id string, duration_ms long")
+    back = spark.createDataFrame([("f", at(7)), ("f", at(12))], "fingerprint_id string, at timestamp")
+    assert {(r["id"], r["why"]) for r in E.bounded_sample(rows, back).collect()} == {("50", "first"), ("31", "last"), ("43", "first since regression"), ("32", "newest"), ("33", "newest")}
+    assert {r["fingerprint_id"]: (r["total"], r["detailed"]) for r in E.within_budget(rows.unionByName(rows.withColumn("fingerprint_id", F.lit("g"))), 1).collect()} == {"f": (20, True), "g": (20, False)}
+
+
+def test_key_blocks_are_masked(spark):
+    t = F.col("t")
+    assert one(spark, X.normal_message(t), t="a -----BEGIN KEY-----\nabc 12\n-----END KEY----- x\nb 3") == "a <secret> b <number>"
+    assert one(spark, X.normal_message(t), t="-----BEGIN KEY-----\nabc") == "<secret>"
+    m = spark.createDataFrame([("p", "h1"), ("q", "h2")], "path string, hash string")
+    assert L.digest(m).first() == L.digest(m.orderBy(F.col("path").desc())).first() != L.digest(m.limit(1)).first()
+    assert L.digest(m.unionByName(m)).first()["digest"] != L.digest(m.limit(0)).first()["digest"]
+    assert tuple(one(spark, X.call_outcome(t), t='{"Err": "no"}')) == (False, "no") and tuple(one(spark, X.call_outcome(t), t="{")) == (None, None)
 
 
 def test_extraction(spark):
     py = "import os\nfrom .a import b\nclass C(D):\n    def m(self):\n        return b(os.x())\n    def __h(self): pass\ndef f(): pass\ndef _p(): pass\n"
     js = "import { a } from './a';\nexport class K extends L {\n  run(x) {\n    return helper(x);\n  }\n}\nexport async function go() {}\n"
     java = "import java.util.List;\npublic class A extends B implements I {\n  private int n = 1;\n  public void run() {\n    call();\n  }\n}\n"
-    files = spark.createDataFrame([("a.py", py, "py"), ("bad.py", "def (", "py"), ("a.js", js, "js"), ("A.java", java, "java"), ("m.xml", '<select id="one">\n<include refid="cols"/>', "mybatis"), ("c/Card.vue", "name: 'card'", "vue"), ("snippets/x.liquid", "{% render 'y' %}", "liquid"), ("n", None, "js"), ("u", "x", "cobol")], "path string, text string, lang string")
+    files = spark.createDataFrame([("a.py", py, "py"), ("bad.py", "def (", "py"), ("a.js", js, "js"), ("A.java", java, "java"), ("m.xml", '<mapper namespace="x.A">\n<select id="one">\n<include refid="cols"/>', "mybatis"), ("n.xml", '<select id="two"/>', "mybatis"), ("c/Card.vue", "name: 'card'", "vue"), ("snippets/x.liquid", "{% render 'y' %}", "liquid"), ("n", None, "js"), ("u", "x", "cobol")], "path string, text string, lang string")
     rows = K.extract(files).collect()
     sym = {(r["path"], r["kind"], r["name"]) for r in rows if r["part"] == "symbol"}
     rel = {(r["path"], r["kind"], r["target"]) for r in rows if r["part"] == "relation"}
