@@ -222,14 +222,14 @@ def framework_counters(spark, sf):
     return K.framework_counts(_framework_edges(spark))
 
 
-@c.query("""SELECT * FROM (VALUES ('Base.get', 'site/views.py::Base.get', 'member', ['site/views.py::Base.get']), ('useItem', 'web/hooks.js::useItem', 'name', []), ('web/hooks.js::GET', 'web/hooks.js::GET', 'id', []),
- ('orders', NULL, 'part', ['src/OrderMapper.xml::Orders.cols', 'src/OrderMapper.xml::Orders.find', 'src/Orders.java::Orders', 'src/Orders.java::Orders.close', 'src/Orders.java::Orders.count', 'src/Orders.java::Orders.save']), ('badge', NULL, 'part', ['ui/ItemBadge.vue::ItemBadge', 'web/Card.jsx::Badge']), ('e', NULL, 'part', []), ('nowhere', NULL, NULL, NULL)) t(wanted, id, stage, candidates)""".replace("'member', ['site/views.py::Base.get']", "'member', []"))
+@c.query("""SELECT * FROM (VALUES ('Base.get', 'site/views.py::Base.get', 'member', []), ('useItem', 'web/hooks.js::useItem', 'name', []), ('web/hooks.js::GET', 'web/hooks.js::GET', 'id', []),
+ ('orders', NULL, 'part', ['src/OrderMapper.xml::Orders.cols', 'src/OrderMapper.xml::Orders.find', 'src/Orders.java::Orders', 'src/Orders.java::Orders.close', 'src/Orders.java::Orders.count', 'src/Orders.java::Orders.save']), ('badge', NULL, 'part', ['ui/ItemBadge.vue::ItemBadge', 'web/Card.jsx::Badge']), ('e', NULL, 'part', []), ('nowhere', NULL, NULL, NULL)) t(wanted, id, stage, candidates)""")
 def scoped_names(spark, sf):
     asked = spark.createDataFrame([(w,) for w in ("Base.get", "useItem", "web/hooks.js::GET", "orders", "badge", "e", "nowhere")], "wanted string")
     return K.scoped_names(_index(spark)[0], asked)
 
 
-@c.query("""SELECT * FROM (VALUES ('web/hooks.js::useItem', 'framework:react', 2), ('web/hooks.js::useItem', 'name', 1), ('web/handlers.js::show', 'framework:express', 1), ('site/views.py::home', 'framework:django', 1), ('site/views.py::home', 'name', 1)) t(start, resolved_by, n)""".replace("('web/hooks.js::useItem', 'name', 1), ", ""))
+@c.query("""SELECT * FROM (VALUES ('web/hooks.js::useItem', 'framework:react', 2), ('web/handlers.js::show', 'framework:express', 1), ('site/views.py::home', 'framework:django', 1), ('site/views.py::home', 'name', 1)) t(start, resolved_by, n)""")
 def caller_provenance(spark, sf):
     calls = _index(spark)[1].where("kind = 'CALLS'").select("src", "dst", F.col("line") + 1000, F.lit(None).cast("string")).toDF("src", "dst", "line", "resolved_by")
     edges = _framework_edges(spark).select("src", "dst", "line", "resolved_by").unionByName(calls)

@@ -389,7 +389,7 @@ def health_score(spark, sf):
     return Q.health_score(_checks(spark, sf))
 
 
-@c.query(f"""WITH {OBS}, r AS (SELECT id, entity_id, nullif(lower(regexp_extract(text, '^(\\w+):', 1)), '') AS prefix, list_sort(list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> ''))) AS words FROM obs WHERE entity_id IS NOT NULL AND NOT regexp_matches(text, '\\v')), s AS (SELECT entity_id, prefix, words, min(id) AS id FROM r WHERE prefix IS NOT NULL GROUP BY ALL),
+@c.query(f"""WITH {OBS}, r AS (SELECT id, entity_id, nullif(lower(regexp_extract(text, '^(\\w+):', 1)), '') AS prefix, list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[\\t-\\r ]+'), lambda w: w <> ''))) AS words FROM obs WHERE entity_id IS NOT NULL), s AS (SELECT entity_id, prefix, words, min(id) AS id FROM r WHERE prefix IS NOT NULL GROUP BY ALL),
  p AS (SELECT a.entity_id, a.prefix, a.id AS a, b.id AS b, len(list_intersect(a.words, b.words)) / greatest(len(a.words), len(b.words))::DOUBLE AS overlap FROM s a JOIN s b ON a.entity_id = b.entity_id AND a.prefix = b.prefix AND a.id < b.id) SELECT * FROM p WHERE overlap > 0.5 AND overlap < 1""")
 def contradictions(spark, sf):
     return Q.contradictions(observations(spark, sf))
