@@ -65,7 +65,8 @@ def is_identifier(word: Column) -> Column:
 def search_tokens(text: Column) -> Column:
     """Distinct tokens of exact-token search: words and their parts, without stop words and short prose."""
     words = raw_words(text)
-    with_parts = F.flatten(F.transform(words, lambda w: F.when(F.size(word_parts(w)) > 1, F.concat(F.array(w), word_parts(w))).otherwise(F.array(w))))
+    # words without capitals, digits and underscores have no parts
+    with_parts = F.flatten(F.transform(words, lambda w: F.when(w.rlike(r"[^\p{Ll}]") & (F.size(word_parts(w)) > 1), F.concat(F.array(w), word_parts(w))).otherwise(F.array(w))))
     stop = F.array(*[F.lit(s) for s in V.SEARCH_STOP])
     kept = F.filter(with_parts, lambda w: ((F.length(w) >= 3) | is_identifier(w)) & ~F.array_contains(stop, F.lower(w)))
     return F.array_distinct(F.transform(kept, lambda w: F.lower(w)))
