@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as X
 from quern.functions import vocab as V
+from quern.plans.tables import with_ids, written
 
 # Weight of each check, and the share of violations from which it fails (0: any; null: informational).
 CHECKS = {
@@ -121,20 +122,27 @@ def contradictions(observations: DataFrame, least: float = 0.5) -> DataFrame:
     Overlap is shared words over the larger set.  Equal word sets are one text, named by their smallest id.
     A set's words are ordered by rarity within the entity and prefix; two sets that overlap by more than `least` must share
     one of the first `n - floor(least n)` words of each, so only those are joined, and no group is paired with itself.
+    Each row of the join has the words of its sets as integers, so it is measured where it is made and goes on only as a result, at the first word that the two share.
     """
     rows = observations.select("id", "entity_id", X.prefix_word(F.col("text")).alias("prefix"), word_set(F.col("text")).alias("words")).where("prefix is not null and entity_id is not null")
-    sets = rows.groupBy("entity_id", "prefix", "words").agg(F.min("id").alias("id"))
-    words = sets.select("entity_id", "prefix", "id", F.size("words").alias("n"), F.explode("words").alias("w"))
-    freq = words.groupBy("entity_id", "prefix", "w").agg(F.count("*").alias("df"))
-    ranked = words.join(freq, ["entity_id", "prefix", "w"]).groupBy("entity_id", "prefix", "id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "w"))), lambda x: x["w"]).alias("ws"))
-    firsts = ranked.select("entity_id", "prefix", "id", F.explode(F.slice("ws", F.lit(1), (F.col("n") - F.floor(F.col("n") * least)).cast("int"))).alias("w"))
-    a, b = firsts.alias("a"), firsts.alias("b")
-    on = (F.col("a.entity_id") == F.col("b.entity_id")) & (F.col("a.prefix") == F.col("b.prefix")) & (F.col("a.w") == F.col("b.w")) & (F.col("a.id") < F.col("b.id"))
-    pairs = a.join(b, on).select(F.col("a.entity_id").alias("entity_id"), F.col("a.prefix").alias("prefix"), F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    of = lambda c: sets.select(F.col("id").alias(c), F.col("words").alias(f"{c}_words"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    overlap = F.size(F.array_intersect("a_words", "b_words")) / F.greatest(F.size("a_words"), F.size("b_words"))
-    return both.select("entity_id", "prefix", "a", "b", overlap.alias("overlap")).where((F.col("overlap") > least) & (F.col("overlap") < 1))
+    sets = rows.repartition("entity_id", "prefix").groupBy("entity_id", "prefix", "words").agg(F.min("id").alias("id"))
+    # a set that is alone in its group is in no pair
+    sets = with_ids(sets.withColumn("_n", F.count("*").over(Window.partitionBy("entity_id", "prefix"))).where("_n > 1").drop("_n"), "sets", "v")
+    group = ["entity_id", "prefix", "w"]
+    words = sets.select("v", "entity_id", "prefix", F.size("words").alias("n"), F.explode("words").alias("w"))
+    freq = with_ids(words.groupBy(*group).agg(F.count("*").alias("df")).where("df > 1"), "words", "wid")
+    # words of one set alone, which come first in its order, are left out
+    ranked = words.join(freq, group).groupBy("v", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "wid"))), lambda x: x["wid"]).alias("ws"))
+    firsts = F.greatest(F.lit(0), (F.size("ws") - F.floor(F.col("n") * least)).cast("int"))
+    firsts = written(ranked.select("v", "n", "ws", F.explode(F.slice("ws", F.lit(1), firsts)).alias("w")), "firsts")
+    a, b = firsts.select(F.col("v").alias("va"), F.col("n").alias("na"), F.col("ws").alias("wa"), "w"), firsts.select(F.col("v").alias("vb"), F.col("n").alias("nb"), F.col("ws").alias("wb"), F.col("w").alias("_w"))
+    shared, larger = F.array_intersect("wa", "wb"), F.greatest("na", "nb")
+    # no two sets of a group are equal, so none of these overlaps wholly
+    hit = (F.col("w") == F.col("_w")) & (F.col("va") < F.col("vb")) & (F.least("na", "nb") > larger * least) & (F.get(shared, F.lit(0)) == F.col("w")) & (F.size(shared) > larger * least)
+    pairs = a.join(b, hit).select("va", "vb", (F.size(shared) / larger).alias("overlap"))
+    of = lambda c: sets.select(F.col("v").alias(f"v{c}"), F.col("id").alias(f"_{c}"), *(["entity_id", "prefix"] if c == "a" else []))
+    out = pairs.join(of("a"), "va").join(of("b"), "vb")
+    return out.select("entity_id", "prefix", F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"), "overlap").where("a < b")
 
 
 def superseded(observations: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Searches and joins whose pairs grow with the square of the input: equal to brute force, and the pairs themselves are not shuffled."""
 
+from quern.operators import quality as Q
 from quern.operators import retrieval as R
 
 
@@ -62,3 +63,16 @@ def test_prefix_match(spark, monkeypatch):
     monkeypatch.setattr(R, "QUERY_TERMS", 60)
     assert {(r["query_id"], r["doc_id"]) for r in R.prefix_match(d, q).collect()} == want
     assert R.prefix_match(d, q.limit(0)).count() == 0 and R.prefix_match(d.limit(0), q).count() == 0
+
+
+def test_contradictions(spark):
+    rows = [(f"{i:03d}", "e" if i % 10 else "f", "RULE: " + " ".join(f"w{j}_{i * (2 * j + 1) // (j + 1) % 12}" for j in range(7))) for i in range(300)] + [("x", "e", "RULE: w0_1 only"), ("y", "g", "RULE: alone")]
+    sets = {}
+    for i, e, t in rows:
+        ws = frozenset(t.lower().split())
+        sets[e, ws] = min(i, sets.get((e, ws), i))
+    want = {(e, *sorted((i, j)), len(a & b) / max(len(a), len(b))) for (e, a), i in sets.items() for (f, b), j in sets.items() if e == f and i < j and len(a & b) > max(len(a), len(b)) / 2}
+    got = Q.contradictions(spark.createDataFrame(rows, "id string, entity_id string, text string"))
+    found = [(r["entity_id"], r["a"], r["b"], r["overlap"]) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 10
+    assert shuffled(got) < 5 * len(want) + 3000  # some 20,000 pairs share a word
