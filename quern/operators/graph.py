@@ -6,14 +6,21 @@ lost executor costs one hop.  Starts come as a DataFrame: many traversals run at
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from functools import partial, reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import process_label, rounded
-from quern.plans.tables import written
+from quern.plans.tables import with_ids, written
+
+#: Up to so many edges are sent to every worker whole (4 bytes each, and the names of their nodes); a larger graph is joined hop by hop.
+GRAPH_EDGES = 4_000_000
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -39,6 +46,50 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int, passable: DataFrame |
     return reduce(DataFrame.unionByName, parts)
 
 
+def reach_sent(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
+    """`reach` for distinct edges, at most GRAPH_EDGES of them: each start is followed in one task, and no pair of start and node is shuffled."""
+    kinds, spark = dict(edges.dtypes) | dict(starts.dtypes), edges.sparkSession
+    names = with_ids(edges.select(F.col("src").alias("name")).union(edges.select("dst")).distinct(), "names", "v")
+    ends = edges.join(names.select(F.col("name").alias("src"), F.col("v").alias("a")), "src").join(names.select(F.col("name").alias("dst"), F.col("v").alias("b")), "dst").select("a", "b").toArrow()
+    named = names.toArrow().sort_by("v")
+    a, b = (np.searchsorted(named["v"].to_numpy(), ends[c].to_numpy()) for c in "ab")
+    order, counts = np.argsort(a, kind="stable"), np.bincount(a, minlength=len(named))
+    sent = spark.sparkContext.broadcast((named["name"].combine_chunks(), np.append(0, np.cumsum(counts)).astype(np.int64), b[order].astype(np.int32)))
+    asked = starts.select("start").distinct()
+    # a few starts a task, since what each reaches may be much
+    return asked.repartition(min(1000, 1 + asked.count() // 50), "start").mapInArrow(partial(_reached, sent, depth), f"start {kinds['start']}, node {kinds['dst']}, depth int")
+
+
+def _reached(sent, depth: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, first, after = sent.value
+    seen, out, n = np.zeros(len(names), bool), [], 0
+
+    def rows() -> pa.RecordBatch:
+        sizes = [len(nodes) for _, nodes, _ in out]
+        start = names.take(pa.array(np.repeat([s for s, _, _ in out], sizes)))
+        return pa.RecordBatch.from_arrays([start, names.take(pa.array(np.concatenate([x for _, x, _ in out]))), pa.array(np.repeat([d for _, _, d in out], sizes), pa.int32())], ["start", "node", "depth"])
+
+    for batch in batches:
+        for s in pc.index_in(batch.column(0), value_set=names).drop_null().to_numpy().tolist():
+            frontier, met = np.array([s]), [np.array([s])]
+            seen[s] = True
+            for hop in range(1, depth + 1):
+                many = first[frontier + 1] - first[frontier]
+                at = np.arange(many.sum()) + np.repeat(first[frontier] - np.cumsum(many) + many, many)
+                frontier = np.unique(after[at][~seen[after[at]]])
+                seen[frontier] = True
+                met.append(frontier)
+                if len(frontier):
+                    out.append((s, frontier, hop))
+                    n += len(frontier)
+                if n >= 50_000:
+                    yield rows()
+                    out, n = [], 0
+            seen[np.concatenate(met)] = False
+    if out:
+        yield rows()
+
+
 def related(edges: DataFrame, starts: DataFrame, depth: int = 1) -> DataFrame:
     """Nodes around each start, whatever the direction and whether or not they are known elsewhere."""
     return reach(both_ways(edges), starts, depth)
@@ -72,7 +123,9 @@ def directed(edges: DataFrame, direction: str) -> DataFrame:
 
 def blast_radius(edges: DataFrame, symbols: DataFrame, targets: DataFrame, direction: str = "upstream") -> DataFrame:
     """`start, node, depth, confidence`: what lies within three hops of each target; ids without a symbol end the way."""
-    hit = reach(directed(edges, direction), targets, 3, symbols.select(F.col("id").alias("node")))
+    known = symbols.select(F.col("id").alias("node"))
+    near = written(directed(edges, direction).join(known.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst"), "edges")
+    hit = reach_sent(near, targets, 3) if near.count() <= GRAPH_EDGES else reach(near, targets, 3, known)
     return hit.withColumn("confidence", rounded(0.95 * F.pow(F.lit(0.9), F.col("depth") - 1), 2))
 
 

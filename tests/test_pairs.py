@@ -1,5 +1,6 @@
 """Searches and joins whose pairs grow with the square of the input: equal to brute force, and the pairs themselves are not shuffled."""
 
+from quern.operators import graph as G
 from quern.operators import quality as Q
 from quern.operators import retrieval as R
 
@@ -76,3 +77,27 @@ def test_contradictions(spark):
     found = [(r["entity_id"], r["a"], r["b"], r["overlap"]) for r in got.collect()]
     assert len(found) == len(set(found)) and set(found) == want and len(want) > 10
     assert shuffled(got) < 5 * len(want) + 3000  # some 20,000 pairs share a word
+
+
+def test_blast_radius(spark, monkeypatch):
+    edges = [(f"n{i}", f"n{i * 7 % 150}") for i in range(150)] + [("hub", f"n{i}") for i in range(0, 150, 2)] + [("n3", "unknown"), ("unknown", "n4"), ("n5", "n5"), ("n5", "n6"), ("n5", "n6")]
+    e = spark.createDataFrame(edges, "src string, dst string")
+    symbols = spark.createDataFrame([(f"n{i}",) for i in range(150)] + [("hub",)], "id string")
+    targets = spark.createDataFrame([(f"n{i}",) for i in range(150)] + [("unknown",), ("far",), (None,), ("n1",)], "start string")
+    both = {(a, b) for x, y in edges for a, b in ((x, y), (y, x)) if a != b and b != "unknown"}
+    want = set()
+    for s in [f"n{i}" for i in range(150)] + ["unknown"]:
+        seen, now = {s}, {s}
+        for d in (1, 2, 3):
+            now = {b for a, b in both if a in now} - seen
+            seen |= now
+            want |= {(s, x, d) for x in now}
+    got = G.blast_radius(e, symbols, targets, "both")
+    rows = [(r["start"], r["node"], r["depth"]) for r in got.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want and len(want) > 5000
+    assert shuffled(got) < 1000
+    monkeypatch.setattr(G, "GRAPH_EDGES", 0)
+    assert {(r["start"], r["node"], r["depth"]) for r in G.blast_radius(e, symbols, targets, "both").collect()} == want
+    assert G.blast_radius(e.limit(0), symbols, targets).count() == 0
+    monkeypatch.setattr(G, "GRAPH_EDGES", 10)
+    assert G.blast_radius(e.limit(0), symbols, targets).count() == 0 and G.blast_radius(e.limit(5), symbols, targets.limit(0)).count() == 0
